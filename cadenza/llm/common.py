@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,28 +78,63 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task of components() takes: some tens of MB.
+TASK_EDGES = 1_000_000
+
+
+def _merged(kind: pa.DataType):
+    """A partition's edges as stars: each node with the smallest node it reaches within the partition."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        table = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        both = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks], type=kind).combine_chunks()
+        codes = both.dictionary_encode()
+        names, codes = codes.dictionary, codes.indices.to_numpy()
+        order = pa.compute.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        a, b = np.split(rank[codes], 2)
+        label = np.arange(len(order))
+        while True:  # hook roots to smaller neighbours' roots, then halve all paths
+            la, lb = label[a], label[b]
+            if (la == lb).all():
+                break
+            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+            while (label[label] != label).any():
+                label = label[label]
+        ordered = names.take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([ordered, ordered.take(pa.array(label))], names=["a", "b"])
+
+    return rows
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the smallest node it reaches.
 
-    Alternates large-star and small-star steps until the edge set no longer changes. All work is grouped by node
-    with map-side minima, so a node with very many neighbours is one partial aggregate, and no edge list, node or
-    label reaches the driver. Self loops keep lone nodes.
+    Partitions first shrink their own edges to stars, one edge a node. If all that is left fits one task
+    (task_edges, a fixed bound), that task finishes. Else large-star and small-star steps alternate until no edge
+    changes; their groups are map-side minima, so a node with very many neighbours is one partial aggregate. No
+    edge list, node or label reaches the driver. Self loops keep lone nodes. The result is written.
     """
-    a, b, m = F.col("a"), F.col("b"), F.col("m")
-    now = stash(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
-    loops, now = now.where(a == b), now.where(a != b)
+    spark, schema = edges.sparkSession, edges.select("a", "b").schema
+    kind = pa.binary() if schema["a"].dataType.typeName() == "binary" else pa.int64()
+    now = stash(edges.select("a", "b").mapInArrow(_merged(kind), schema))
+    if now.count() <= task_edges:
+        return stash(now.coalesce(1).mapInArrow(_merged(kind), schema)).toDF("node", "component")
+    a, b = F.col("a"), F.col("b")
+    nodes = now.select(a.alias("node")).unionByName(now.select(b.alias("node"))).distinct()
+    now = now.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a != b).distinct()
     before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == state or state[0] == 0:
-            break
-        before = state
+    while before != (before := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()):
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(a, F.min("b")).alias("m"))
-        now = both.join(low, "a").where(b > a).select(b.alias("a"), m.alias("b")).where(a != b).distinct()
+        now = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
         low = now.groupBy("a").agg(F.min("b").alias("m"))
-        small = now.join(low, "a")
-        now = stash(small.select(b.alias("a"), m.alias("b")).unionByName(low.select("a", m.alias("b"))).where(a != b).distinct())
-    roots = now.select(b.alias("node")).unionByName(loops.select(a.alias("node"))).distinct()
-    roots = roots.join(now.select(a.alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return now.select(a.alias("node"), b.alias("component")).unionByName(roots)
+        small = now.join(low, "a").select(b.alias("a"), F.col("m").alias("b"))
+        now = stash(small.unionByName(low.select("a", F.col("m").alias("b"))).where(a != b).distinct())
+    found = nodes.join(now.select(a.alias("node"), b.alias("component")), "node", "left")
+    return stash(found.select("node", F.coalesce("component", "node").alias("component")))

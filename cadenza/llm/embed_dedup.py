@@ -136,7 +136,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     found = stash(pairs.select("i", "j", "a", "b").mapInArrow(compared, "node long, links long, to long"))
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    labels = stash(components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))))
+    labels = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     named = classes.join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least_vec").alias("component_id"))
     named = named.join(smallest, "component").select("bytes", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,76 +74,73 @@ def _token_blocks(width: int, keys: list[int], heavy: np.ndarray):
                         sent.add(d)
                 if not own:
                     continue
-                sigs = np.frombuffer(b"".join(own), np.uint8).reshape(-1, 16)
+                sizes = np.array([len(s) for s in own.values()], np.uint32)
+                sigs = np.concatenate([np.frombuffer(b"".join(own), np.uint8).reshape(-1, 16), sizes.view(np.uint8).reshape(-1, 4)], axis=1)
                 tokens = np.concatenate(list(own.values()))
-                owner = np.repeat(np.arange(len(own), dtype=np.uint32), [len(s) for s in own.values()])
+                owner = np.repeat(np.arange(len(own), dtype=np.uint32), sizes)
                 part = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 65536 else np.uint32)
                 if len(heavy):
                     place = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
                     light = heavy[place] != tokens
-                    yield from _packed(-1, 0, sigs, owner[~light], tokens[~light], keys)
+                    yield from _by_set(keys, sigs, owner[~light], tokens[~light])
                     part, owner, tokens = part[light], owner[light], tokens[light]
                 order = np.argsort(part, kind="stable")
                 part, owner, tokens = part[order], owner[order], tokens[order]
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
                 for r in range(ranges):
-                    yield from _packed(r, keys[r], sigs, owner[cuts[r] : cuts[r + 1]], tokens[cuts[r] : cuts[r + 1]], keys)
+                    yield from _packed(r, keys[r], sigs, owner[cuts[r] : cuts[r + 1]], tokens[cuts[r] : cuts[r + 1]])
 
     return rows
 
 
-def _packed(part: int, key: int, sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray, keys: list[int]) -> Iterator[pa.RecordBatch]:
-    """owner and tokens, grouped by owner, as one row: digests, counts and token values."""
-    if not len(tokens):
-        return
-    if part < 0:  # by set: each to the reducer that its digest names
-        to = sigs[:, 0].astype(np.int64) * 256 + sigs[:, 1]
-        where = to[owner] * len(keys) >> 16
-        for r in np.unique(where).tolist():
-            yield from _one(-1, keys[r], sigs, owner[where == r], tokens[where == r])
-        return
-    yield from _one(part, key, sigs, owner, tokens)
+_ROW = "to long, part int, sigs binary, counts binary, tokens binary, held binary"
+_ALWAYS = 0xFFFFFFFF
 
 
-def _one(part: int, key: int, sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _packed(part: int, key: int, sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray, held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """owner and tokens, grouped by owner, as one row: digests with set sizes, counts, token values, how many sets hold them."""
+    if not len(tokens):
+        return
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     counts = np.diff(np.concatenate([first, [len(owner)]])).astype(np.uint32)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key], pa.int64()), pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (sigs[owner[first]], counts, tokens))],
-        names=["to", "part", "sigs", "counts", "tokens"],
-    )
+    columns = [x.tobytes() for x in (sigs[owner[first]], counts, tokens)] + [None if held is None else held.tobytes()]
+    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["to", "part", "sigs", "counts", "tokens", "held"])
 
 
-_FOUND = "sig binary, tokens binary, held binary"
+def _by_set(keys: list[int], sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray, held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """As _packed, one row for each reducer of sets; a set's reducer follows from its digest."""
+    held = np.full(len(tokens), _ALWAYS, np.uint32) if held is None else held
+    where = ((sigs[:, 0].astype(np.int64) << 24 | sigs[:, 1].astype(np.int64) << 16 | sigs[:, 2].astype(np.int64) << 8 | sigs[:, 3]) * len(keys) >> 32)[owner]
+    order = np.argsort(where, kind="stable")
+    where, owner, tokens, held = where[order], owner[order], tokens[order], held[order]
+    cuts = np.searchsorted(where, np.arange(len(keys) + 1))
+    for r in range(len(keys)):
+        own = slice(cuts[r], cuts[r + 1])
+        yield from _packed(-1, keys[r], sigs, owner[own], tokens[own], held[own])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per set and range: the tokens that at least two different sets hold, and how many sets hold each.
+def _unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digests of the distinct sets, owner, token, held) of packed rows; owner points to a digest."""
+    sigs = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 20)
+    counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint32)
+    tokens = np.frombuffer(b"".join(r[2] for r in rows), np.uint64)
+    held = np.frombuffer(b"".join(r[3] or b"" for r in rows), np.uint32)
+    _, first, which = np.unique(np.ascontiguousarray(sigs).view("V20").ravel(), return_index=True, return_inverse=True)
+    return sigs[first], np.repeat(which.astype(np.int64), counts), tokens, held
 
-    Rows come sorted by range, so one range is in memory at a time.
-    """
-    ranges: int | None = None
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row[2], np.uint8).reshape(-1, 16), np.frombuffer(row[3], np.uint32), np.frombuffer(row[4], np.uint64)
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "counts", "tokens", "held")), strict=True)
 
-    def out(sigs, counts, tokens, numbers) -> Iterator[pa.RecordBatch]:
-        cuts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist()
-        rows = [(sigs[i].tobytes(), tokens[a:b].tobytes(), numbers[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["sig", "tokens", "held"])
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        sigs = np.concatenate([h[0] for h in held])
-        counts = np.concatenate([h[1] for h in held])
-        tokens = np.concatenate([h[2] for h in held])
-        held.clear()
-        names = np.ascontiguousarray(sigs).view("V16").ravel()
-        _, first, which = np.unique(names, return_index=True, return_inverse=True)
-        owner = np.repeat(which.astype(np.int64), counts)
+def _repeated(keys: list[int]):
+    """Per range: the tokens that at least two different sets hold, packed again for the reducers of sets.
+
+    Rows come sorted by range, so one range is in memory at a time. Rows of heavy tokens pass through.
+    """
+
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sigs, owner, tokens, _ = _unpacked(rows)
         order = np.lexsort((owner, tokens))
         owner, tokens = owner[order], tokens[order]
         fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])  # copies from other tasks go
@@ -153,41 +151,55 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = number >= 2
         owner, tokens, number = owner[some], tokens[some], number[some].astype(np.uint32)
         order = np.argsort(owner, kind="stable")
-        owner, tokens, number = owner[order], tokens[order], number[order]
-        ids = np.unique(owner)
-        cuts = np.searchsorted(owner, np.concatenate([ids, [len(first)]]))
-        yield from out(sigs[first[ids]], np.diff(cuts), tokens, number)
+        yield from _by_set(keys, sigs, owner[order], tokens[order], number[order])
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("to", "part", "sigs", "counts", "tokens")), strict=True):
-            sigs, counts, tokens = unpacked(row)
-            if row[1] < 0:
-                yield from out(sigs, counts, tokens, np.full(len(tokens), 0xFFFFFFFF, np.uint32))
-                continue
-            if ranges != row[1]:
-                yield from done()
-                ranges = row[1]
-            held.append((sigs, counts, tokens))
-    yield from done()
-
-
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A set's shared tokens from all ranges in the global order: rarest first, then by value."""
-    for batch in batches:
-        keep, columns = [], []
-        for i, (n, need, parts) in enumerate(zip(batch.column("n").to_pylist(), batch.column("need").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
-            tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-            held = np.frombuffer(b"".join(p["held"] for p in parts), np.uint32)
-            tokens, first = np.unique(tokens, return_index=True)
-            if len(tokens) < need:
-                continue  # too few tokens that any other set holds
-            order = np.argsort(held[first], kind="stable")
-            keep.append(i)
-            columns.append((tokens[order].tobytes(), n - len(tokens)))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            passing = batch.filter(pa.compute.less(batch.column("part"), 0))
+            if passing.num_rows:
+                yield passing
+            for part, *row in _rows(batch):
+                if part < 0:
+                    continue
+                if part != at and held:
+                    yield from done(held)
+                    held = []
+                at = part
+                held.append(row)
+        if held:
+            yield from done(held)
+
+    return rows
+
+
+def _ordered(percent: int):
+    """Each set's shared tokens from all ranges in the global order: rarest first, then by value. Sets that hold too
+    few of them to reach any other go."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for _, *row in _rows(batch)]
+        if not held:
+            return
+        sigs, owner, tokens, number = _unpacked(held)
+        order = np.lexsort((tokens, number, owner))
+        owner, tokens = owner[order], tokens[order]
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
+        owner, tokens = owner[fresh], tokens[fresh]
+        cuts = np.searchsorted(owner, np.arange(len(sigs) + 1)).tolist()
+        sizes = np.ascontiguousarray(sigs[:, 16:]).view(np.uint32).ravel().astype(np.int64)
+        needs = -(-sizes * percent // 100)
+        kept = np.flatnonzero(np.diff(cuts) >= needs).tolist()
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("sig", "n", "need")), pa.array([c[0] for c in columns], pa.binary()), pa.array([c[1] for c in columns], pa.int64())],
+            [
+                pa.array([sigs[i, :16].tobytes() for i in kept], pa.binary()), pa.array(sizes[kept]), pa.array(needs[kept]),
+                pa.array([tokens[cuts[i] : cuts[i + 1]].tobytes() for i in kept], pa.binary()),
+                pa.array([int(sizes[i]) - cuts[i + 1] + cuts[i] for i in kept], pa.int64()),
+            ],
             names=["sig", "n", "need", "tokens", "alone"],
-        )
+        )
+
+    return rows
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +249,13 @@ def _answers(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, leaders: DataFrame | None, percent: int) -> DataFrame:
-    """(x, y, jaccard, less, more) of the pairs (x, y) that link; less = y - x and more = x - y over shared tokens."""
+    """(x, y, jaccard, less, more) of the pairs (x, nx, y) that link; less = y - x and more = x - y over shared tokens."""
     empty = F.lit(b"").cast("binary")
     if leaders is None:
-        pairs = pairs.select("x", "y", F.col("x").alias("lead"), empty.alias("less"), empty.alias("more"))
+        pairs = pairs.select("*", F.col("x").alias("lead"), empty.alias("less"), empty.alias("more"))
     else:
         led = leaders.select("x", "lead", "less", "more")
-        pairs = pairs.join(led, "x", "left").select("x", "y", F.coalesce("lead", "x").alias("lead"), F.coalesce("less", empty).alias("less"), F.coalesce("more", empty).alias("more"))
-    sizes = sets.select(F.col("sig").alias("x"), F.col("n").alias("nx"))
-    pairs = pairs.join(sizes, "x")
+        pairs = pairs.join(led, "x", "left").select("x", "nx", "y", F.coalesce("lead", "x").alias("lead"), F.coalesce("less", empty).alias("less"), F.coalesce("more", empty).alias("more"))
     pairs = pairs.join(sets.select(F.col("sig").alias("lead"), F.col("tokens").alias("base")), "lead")
     pairs = pairs.join(sets.select(F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("other")), "y")
     return pairs.select("x", "nx", "lead", "less", "more", "base", "y", "ny", "other").mapInArrow(_answers(percent), "x binary, y binary, jaccard double, less binary, more binary")
@@ -258,7 +268,7 @@ def _even_keys(spark: SparkSession, count: int) -> list[int]:
     return [found.get(p, p) for p in range(count)]
 
 
-def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 1) -> DataFrame:
     """(doc, n_shingles, component_id) of every row of df: which documents reach each other by links.
 
     Words are runs between ASCII spaces, A-Z folded. Two rows link when 100 * |intersection| >= percent * |union| of
@@ -292,12 +302,11 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     heavy = first.where("heavy is not null").groupBy("heavy").agg(F.sum("held").alias("held")).where(F.col("held") >= often).select("heavy").toPandas()["heavy"].to_numpy(np.int64)
     heavy = np.sort(heavy.view(np.uint64))
     count = partitions(spark)
-    blocks = docs.mapInArrow(_token_blocks(width, _even_keys(spark, count), heavy), "to long, part int, sigs binary, counts binary, tokens binary")
-    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(_repeated, _FOUND)
-    parts = shared.groupBy("sig").agg(F.collect_list(F.struct("tokens", "held")).alias("parts"))
-    need = F.ceil(F.col("n") * percent / 100).cast("long")
-    sets = parts.join(classes.select("sig", "n"), "sig").select("sig", "n", need.alias("need"), "parts")
-    sets = stash(sets.mapInArrow(_ordered, "sig binary, n long, need long, tokens binary, alone long"))
+    keys = _even_keys(spark, count)
+    blocks = docs.mapInArrow(_token_blocks(width, keys, heavy), _ROW)
+    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(_repeated(keys), _ROW)
+    sets = shared.repartition(count, "to").mapInArrow(_ordered(percent), "sig binary, n long, need long, tokens binary, alone long")
+    sets = stash(sets)
     postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long"))
     labels, leaders, links = None, None, None
     for turn in range(rounds):
@@ -306,17 +315,17 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
         centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sig", "n", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
         apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
         near = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
-        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("c.sig").alias("y")).distinct()
+        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y")).distinct()
         found = stash(_verified(pairs, sets, leaders, percent))
         if turn == 0:
             best = F.max_by(F.struct("y", "less", "more"), F.struct("jaccard", "y"))
             leaders = stash(found.groupBy("x").agg(best.alias("b")).select("x", F.col("b.y").alias("lead"), F.col("b.less").alias("less"), F.col("b.more").alias("more")))
         new = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
-        labels = stash(components(links))
+        labels = components(links)
     apart = _across(_labelled(postings, labels), percent)
     found = _verified(apart, sets, leaders, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = stash(components(stash(links.unionByName(found))))
+    labels = components(links.unionByName(found))
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(smallest, "component").select("sig", "component_id")
@@ -331,7 +340,7 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _across(listed: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (x, y) of different components that share a prefix token and pass all bounds."""
+    """The candidate pairs (x, nx, y) of different components that share a prefix token and pass all bounds."""
     mixed = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     listed = listed.join(mixed, "token")
     ratio = percent / 100
@@ -346,4 +355,4 @@ def _across(listed: DataFrame, percent: int) -> DataFrame:
     able = rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     near = F.col("nx") * 100 >= F.col("ny") * percent
-    return probes.join(index, ["token", "block"]).where((F.col("cx") != F.col("cy")) & order & near & able).select("x", "y").distinct()
+    return probes.join(index, ["token", "block"]).where((F.col("cx") != F.col("cy")) & order & near & able).select("x", "nx", "y").distinct()
