@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, stash
+from .common import chunks, picked, stash
 
 _PIECE = "key {key}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -36,42 +36,42 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.needed: set[str] = set()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
+        """Adds the words, none of which is in self.new."""
         if len(self.new) > self.MOST:
             self.new, self.old = {}, self.new
-        unknown, ended = {}, []
-        for word in words:
-            if self._known(word):
-                continue
-            # a mark behind a letter is a token of its own: only the stem needs the tokenizer
-            if word[-1] in ".," and len(word) > 1 and word[-2].isalpha():
-                ended.append(word)
-                for x in (word[:-1], word[-1]):
-                    if not self._known(x):
-                        unknown[x] = None
-            else:
-                unknown[word] = None
-        unknown = list(unknown)
-        for a in range(0, len(unknown), 2000):
-            part = unknown[a : a + 2000]
+            words = words | self.needed
+        known = words & self.old.keys()
+        self.new.update((w, self.old[w]) for w in known)
+        words = words - known
+        # a mark behind a letter is a token of its own: only the stem needs the tokenizer
+        ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
+        stems = (words.difference(ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(self.new)
+        known = stems & self.old.keys()
+        self.new.update((w, self.old[w]) for w in known)
+        stems -= known
+        plain = [w for w in stems if w.isalpha()]
+        for a in range(0, len(plain), 5000):
+            part = plain[a : a + 5000]
+            # words of letters alone are one run of tokens each, the last of which ends a word
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            self._put(part, found, np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1]))
+        other = [w for w in stems if not w.isalpha()]
+        for a in range(0, len(other), 2000):
+            part = other[a : a + 2000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owners = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.searchsorted(owners, np.arange(len(part) + 1))
-            for word, x, y in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.new[word] = ids[x:y].tobytes()
-        for word in ended:
-            self.new[word] = self.new[word[:-1]] + self.new[word[-1]]
-
-    def _known(self, word: str) -> bool:
-        if word in self.new:
-            return True
-        if (ids := self.old.get(word)) is None:
-            return False
-        self.new[word] = ids
-        return True
+            self._put(part, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)))
+        self.new.update((w, self.new[w[:-1]] + self.new[w[-1]]) for w in ended)
+
+    def _put(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.new.update((w, data[x:y]) for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -79,15 +79,15 @@ class WordTokens:
         odd = set(slow)
         for i, found in zip(slow, self.tokenizer.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
             out[i] = np.array(found.ids, "<u4").tobytes()
-        for i, text in enumerate(texts):
-            if i in odd:
-                continue
-            words = text.lower().split()
-            try:
-                out[i] = b"".join([self.new[w] for w in words])
-            except KeyError:
-                self.learn(list(dict.fromkeys(words)))
-                out[i] = b"".join([self.new[w] for w in words])
+        quick = [i for i in range(len(texts)) if i not in odd]
+        for a, b in chunks([len(texts[i]) for i in quick], 1 << 20):
+            split = [texts[i].lower().split() for i in quick[a:b]]
+            self.needed = set().union(*split)
+            if unknown := self.needed.difference(self.new):
+                self.learn(unknown)
+            get = self.new.__getitem__
+            for i, words in zip(quick[a:b], split, strict=True):
+                out[i] = b"".join(map(get, words))
         return out
 
 
