@@ -16,7 +16,7 @@ from .common import as_bytes, chunks, picked
 
 BLOCK = 1024
 _ORDER, _PRECISION, _SHIFT = 4, 12, 10
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # the format's fixed predictors
 
 
@@ -464,21 +464,25 @@ def decode_flac(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def media_digests(df: DataFrame) -> DataFrame:
-    """The digests of decode_flac's rows: what was read back from the stored bytes, and what it sounds like."""
+    """The digests of encode_flac's rows: what decode() reads back from the stored bytes, and what it sounds like."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for n, media, blocks in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                samples = np.frombuffer(b"".join(b["pcm"] for b in blocks), np.int8)
-                payload = (samples.view(np.uint8) ^ 0x80).tobytes()
-                wide = samples.astype(np.int64)
-                crossings = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
-                feature = f"blocks={len(blocks)} peak={int(np.abs(wide).max())} mean={wide.mean():.4f} rms={np.sqrt((wide * wide).mean()):.4f} crossings={crossings}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            streams, rows = batch.column("media").to_pylist(), []
+            for a, b in chunks([len(s) for s in streams], _CHUNK):
+                for media, (_, blocks) in zip(streams[a:b], decode(streams[a:b]), strict=True):
+                    samples = np.concatenate(blocks)
+                    payload = (samples.view(np.uint8) ^ 0x80).tobytes()
+                    wide = samples.astype(np.int32)
+                    crossings = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
+                    power = float(np.dot(wide.astype(np.float64), wide)) / len(wide)
+                    feature = f"blocks={len(blocks)} peak={int(np.abs(wide).max())} mean={wide.mean():.4f} rms={np.sqrt(power):.4f} crossings={crossings}"
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["key", "n_bytes", *names])
 
-    schema = df.select("key", "n_bytes").schema.add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
-    return df.mapInArrow(digested, schema)
+    schema = df.select("key", "n_bytes").schema
+    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
+        schema = schema.add(name, kind)
+    return df.select("key", "n_bytes", "media").mapInArrow(digested, schema)

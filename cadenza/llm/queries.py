@@ -40,8 +40,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = flac.encode_flac(_table(spark, sf_dir, "documents"))
-    return flac.media_digests(flac.decode_flac(stored)).withColumnRenamed("key", "doc_id")
+    return flac.media_digests(flac.encode_flac(_table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
