@@ -25,12 +25,11 @@ class WordTokens:
 
     The tokenizer never joins characters across white space, so a text's ids are those of its space-separated words
     in a row. Only texts of ASCII and Latin-1 letters and marks go this way, where its normalisation is
-    lower-casing; all others go through it whole. Two generations of words are kept, so memory is bounded and
-    frequent words stay.
+    lower-casing; all others go through it whole. Memory is bounded: words that came once make room for new ones.
     """
 
     OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
-    MOST = 500_000
+    MOST = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,24 +37,25 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.needed: set[str] = set()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.kept: set[str] = set()
+
+    def needed(self, words: set[str]) -> None:
+        """Makes the words known. A word that comes again after the chunk that brought it is kept; others make room."""
+        unknown = words.difference(self.known)
+        self.kept |= (words - unknown)
+        if len(self.known) > len(self.kept) + self.MOST:
+            if len(self.kept) > 2 * self.MOST:
+                self.kept = words - unknown
+            self.known = {w: self.known[w] for w in self.kept}
+        if unknown:
+            self.learn(unknown)
 
     def learn(self, words: set[str]) -> None:
-        """Adds the words, none of which is in self.new."""
-        if len(self.new) > self.MOST:
-            self.new, self.old = {}, self.new
-            words = words | self.needed
-        known = words & self.old.keys()
-        self.new.update((w, self.old[w]) for w in known)
-        words = words - known
+        """Adds the words, none of which is known."""
         # a mark behind a letter is a token of its own: only the stem needs the tokenizer
         ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
-        stems = (words.difference(ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(self.new)
-        known = stems & self.old.keys()
-        self.new.update((w, self.old[w]) for w in known)
-        stems -= known
+        stems = (words.difference(ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(self.known)
         plain = [w for w in stems if w.isalpha()]
         for a in range(0, len(plain), 5000):
             part = plain[a : a + 5000]
@@ -67,11 +67,11 @@ class WordTokens:
             part = other[a : a + 2000]
             found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             self._put(part, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)))
-        self.new.update((w, self.new[w[:-1]] + self.new[w[-1]]) for w in ended)
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in ended)
 
     def _put(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
         data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        self.new.update((w, data[x:y]) for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True))
+        self.known.update((w, data[x:y]) for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -82,10 +82,8 @@ class WordTokens:
         quick = [i for i in range(len(texts)) if i not in odd]
         for a, b in chunks([len(texts[i]) for i in quick], 1 << 20):
             split = [texts[i].lower().split() for i in quick[a:b]]
-            self.needed = set().union(*split)
-            if unknown := self.needed.difference(self.new):
-                self.learn(unknown)
-            get = self.new.__getitem__
+            self.needed(set().union(*split))
+            get = self.known.__getitem__
             for i, words in zip(quick[a:b], split, strict=True):
                 out[i] = b"".join(map(get, words))
         return out
