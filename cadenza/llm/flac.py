@@ -366,7 +366,7 @@ def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
         k = rice[sel]
         peek = window[q_at >> 3] << (q_at & 7).astype(np.uint64)
         zeros = 53 - np.frexp((peek >> np.uint64(11)).astype(np.float64))[1].astype(np.int64)
-        if int(zeros.max()) + int(k.max()) > 54:
+        if int(zeros.max()) + max(2, int(k.max())) > 54:  # 53: no end of the unary part in the window
             zeros, rest = _long_codes(window, q_at, k, zeros, peek)
         else:
             rest = ((peek << (zeros + 1).astype(np.uint64)) >> one) >> (low - k.astype(np.uint64))
