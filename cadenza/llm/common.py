@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -48,6 +48,21 @@ def _drop_stashes() -> None:
             return
 
 
+def lean(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """rows for mapInArrow, after which the worker gives back the memory it no longer uses: workers stay for later
+    tasks, and an executor's idle ones would otherwise keep their peaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, chunks, picked
+from .common import as_bytes, chunks, lean, picked
 
 BLOCK = 1024
 _ORDER, _PRECISION, _SHIFT = 4, 12, 10
@@ -434,7 +434,7 @@ def encode_flac(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array(media, pa.binary())], names=["key", "n_bytes", "media"])
 
     rows = picked(df, key=key, text=text)
-    return rows.mapInArrow(encoded, rows.select("key").schema.add("n_bytes", "long").add("media", "binary"))
+    return rows.mapInArrow(lean(encoded), rows.select("key").schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def decode_flac(df: DataFrame, media: str = "media") -> DataFrame:
@@ -460,7 +460,7 @@ def decode_flac(df: DataFrame, media: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(block))], names=[*part.schema.names, "blocks"])
 
     schema = T.StructType(list(df.schema.fields)).add("blocks", T.ArrayType(T.StructType().add("sample_offset", "long").add("samples", T.IntegerType()).add("pcm", "binary")))
-    return df.mapInArrow(decoded, schema)
+    return df.mapInArrow(lean(decoded), schema)
 
 
 def media_digests(df: DataFrame) -> DataFrame:
@@ -485,4 +485,4 @@ def media_digests(df: DataFrame) -> DataFrame:
     schema = df.select("key", "n_bytes").schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(name, kind)
-    return df.select("key", "n_bytes", "media").mapInArrow(digested, schema)
+    return df.select("key", "n_bytes", "media").mapInArrow(lean(digested), schema)

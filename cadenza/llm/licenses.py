@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, picked
+from .common import as_bytes, chunks, lean, picked
 from .shingles import Words, tables
 
 # The phrases that always count, and the notices that the join looks for.
@@ -120,7 +120,7 @@ def frequencies(df: DataFrame, templates: list[tuple[str, str]], text: str = "te
                 total += np.bincount(np.unique(owner[hit] * len(vocabulary) + spot[hit]) % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocabulary), dtype=np.int32)), pa.array(total)], names=["token", "n"])
 
-    rows = picked(df, text=text).mapInArrow(counted, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = picked(df, text=text).mapInArrow(lean(counted), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {int(vocabulary[r.token]): r.n for r in rows}
 
 
@@ -153,4 +153,4 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templa
     schema = rows.select("key").schema
     for name, kind in zip(names, ("long", "long", "long", "long", "string", "string", "double"), strict=True):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(scanned, schema)
+    return rows.mapInArrow(lean(scanned), schema)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, picked, stash
+from .common import lean, partitions, picked, stash
 
 _STRIP = " \t\n\x0b\x0c\r"
 _LEAST = -(2**63)
@@ -91,10 +91,10 @@ def line_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", least_c
     """
     spark = df.sparkSession
     docs = _keyed(df, key, text)
-    lines = docs.mapInArrow(_line_rows(least_chars), "high long, low long, doc long, text_hash long, at int")
+    lines = docs.mapInArrow(lean(_line_rows(least_chars)), "high long, low long, doc long, text_hash long, at int")
     order = ["high", "low", "doc", "text_hash", "at"]
     ranged = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    streamed = stash(ranged.mapInArrow(_with_part, "high long, low long, doc long, text_hash long, at int, first long, part int"))
+    streamed = stash(ranged.mapInArrow(lean(_with_part), "high long, low long, doc long, text_hash long, at int, first long, part int"))
     edge = F.struct("high", "low", "first")
     ends = sorted(streamed.groupBy("part").agg(F.min(edge).alias("lo"), F.max(edge).alias("hi")).collect())
     carried, open_key, open_first = [], None, None
@@ -145,7 +145,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_ch
     """df with n_lines, n_dropped and text without the dropped lines; the other columns stay as they are."""
     rows = _matched(df, line_bitmaps(df, key, text, least_chars), key, text).select("whole", "text", "bitmap")
     schema = rows.select("whole").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    out = rows.mapInArrow(_apply, schema)
+    out = rows.mapInArrow(lean(_apply), schema)
     columns = [F.col("kept").alias(c) if c == text else F.col("whole")[c].alias(c) for c in df.columns]
     return out.select(*columns, *[c for c in ("n_lines", "n_dropped") if c not in df.columns])
 
@@ -153,4 +153,4 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_ch
 def line_digests(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 10) -> DataFrame:
     """(key, n_lines, n_dropped, kept_sha256) of every row of df."""
     rows = _matched(df.select(df[key].alias("k"), df[text].alias("t")), line_bitmaps(df, key, text, least_chars), "k", "t")
-    return rows.select("key", "text", "bitmap").mapInArrow(_digest, "key long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.select("key", "text", "bitmap").mapInArrow(lean(_digest), "key long, n_lines long, n_dropped long, kept_sha256 string")

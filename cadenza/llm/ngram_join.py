@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, components, partitions, picked, stash
+from .common import as_bytes, chunks, components, lean, partitions, picked, stash
 from .shingles import shingle_sets
 
 _CHUNK = 1 << 20
@@ -294,7 +294,7 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     spark = df.sparkSession
     docs = picked(df, doc=key, text=text).select(F.col("doc").cast("long").alias("doc"), "text")
-    first = stash(docs.mapInArrow(_classes(width), "doc long, n long, sig binary, heavy long, held long"))
+    first = stash(docs.mapInArrow(lean(_classes(width)), "doc long, n long, sig binary, heavy long, held long"))
     rows = first.where("n is not null").select("doc", "n", "sig")
     classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n")))
     total = classes.count()
@@ -303,9 +303,9 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     heavy = np.sort(heavy.view(np.uint64))
     count = partitions(spark)
     keys = _even_keys(spark, count)
-    blocks = docs.mapInArrow(_token_blocks(width, keys, heavy), _ROW)
-    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(_repeated(keys), _ROW)
-    sets = shared.repartition(count, "to").mapInArrow(_ordered(percent), "sig binary, n long, need long, tokens binary, alone long")
+    blocks = docs.mapInArrow(lean(_token_blocks(width, keys, heavy)), _ROW)
+    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys)), _ROW)
+    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long")
     sets = stash(sets)
     postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long"))
     labels, leaders, links = None, None, None

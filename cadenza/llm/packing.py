@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, picked, stash
+from .common import chunks, lean, picked, stash
 
 _PIECE = "key {key}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -29,11 +29,12 @@ class WordTokens:
     """
 
     OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
-    MOST = 150_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 150_000):
+        """room: how many words that came once are known; those that came again are at most twice as many more."""
         from tokenizers import Tokenizer
 
+        self.room = room
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -44,8 +45,8 @@ class WordTokens:
         """Makes the words known. A word that comes again after the chunk that brought it is kept; others make room."""
         unknown = words.difference(self.known)
         self.kept |= (words - unknown)
-        if len(self.known) > len(self.kept) + self.MOST:
-            if len(self.kept) > 2 * self.MOST:
+        if len(self.known) > len(self.kept) + self.room:
+            if len(self.kept) > 2 * self.room:
                 self.kept = words - unknown
             self.known = {w: self.known[w] for w in self.kept}
         if unknown:
@@ -90,28 +91,30 @@ class WordTokens:
 
 
 @functools.cache
-def _tokens(path: str) -> WordTokens:
+def _tokens(path: str, words: int) -> WordTokens:
     """One a Python worker, so that a worker's later tasks find the words of earlier ones."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokens(path)
+    return WordTokens(path, words)
 
 
-def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", closing: int = 0) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", closing: int = 0, words: int = 150_000) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, nth): every document's ids and one closing id, cut at `room`.
 
     Null text is empty: the closing id alone. part and nth number the pieces of each length within a partition,
-    as ranks for the packing; the result must be written before it is used twice.
+    as ranks for the packing; the result must be written before it is used twice. A worker keeps the ids of `words`
+    words, and of up to twice as many that came again: more memory for less time, with the same ids.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen, part = _tokens(tokenizer), [0] * (room + 1), TaskContext.get().partitionId()
+        tokens, seen, part = _tokens(tokenizer, words), [0] * (room + 1), TaskContext.get().partitionId()
         end = np.array([closing], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, ids in enumerate(tokens.encode(texts)):
+            encoded = ((a + j, ids) for a, b in chunks([len(t) for t in texts], 1 << 20) for j, ids in enumerate(tokens.encode(texts[a:b])))
+            for i, ids in encoded:
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * room)):
                     own = ids[at : at + 4 * room]
@@ -127,7 +130,7 @@ def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "do
 
     rows = picked(df, key=key, text=text)
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(cut, _PIECE.format(key=kind))
+    return rows.mapInArrow(lean(cut), _PIECE.format(key=kind))
 
 
 def _configurations(sizes: list[int], counts: list[int], room: int) -> list[tuple[dict[int, int], int]]:
@@ -330,9 +333,9 @@ def pack(pieces: DataFrame, room: int = 2048) -> DataFrame:
     return placed.select("key", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), (F.col("at") + step % F.col("per") * F.col("length")).alias("offset"))
 
 
-def pack_documents(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", words: int = 150_000) -> DataFrame:
     """Tokenises, cuts and packs every row of df; see token_pieces and pack.
 
     Null text: one piece of the closing id. Null keys and repeated rows are rows of their own. No rows give none.
     """
-    return pack(stash(token_pieces(df, tokenizer, room, key, text)), room)
+    return pack(stash(token_pieces(df, tokenizer, room, key, text, words=words)), room)

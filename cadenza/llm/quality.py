@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, picked
+from .common import as_bytes, chunks, lean, picked
 from .shingles import SPACES, Words, splitmix
 
 BUCKETS = 1 << 17
@@ -106,7 +106,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks = marks.where(F.crc32(F.col("key").cast("string").cast("binary")) % 4 != 2).groupBy("key").agg(F.min("label").alias("label"))
     chosen = marks.withColumn("rank", F.xxhash64("key")).orderBy("rank", "key").limit(most_rows)
     texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key").select("rank", "label", "text")
-    rows = texts.mapInArrow(_features, "rank long, label int, ids binary, shares binary").toPandas()
+    rows = texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary").toPandas()
     rows = rows.sort_values(["rank", "label", "ids"], kind="stable")
     return sgd([(int(r.label > 0), np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows.itertuples()])
 
@@ -134,5 +134,5 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
             yield pa.RecordBatch.from_arrays([whole, pa.array(scores(as_bytes(batch.column(1)), model))], names=["whole", "score_"])
 
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("whole"), df[text].alias("text_"))
-    out = rows.mapInArrow(scored, rows.select("whole").schema.add("score_", "double"))
+    out = rows.mapInArrow(lean(scored), rows.select("whole").schema.add("score_", "double"))
     return out.select(*[F.col("whole")[c].alias(c) for c in df.columns], F.col("score_").alias(name))

@@ -38,8 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every drawn copy's pieces into sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path()).withColumnRenamed("key", "doc_id")
+    """Places every drawn copy's pieces into sequences of at most 2048 tokens; a small word memory leaves the workers
+    that other stages use next their room."""
+    return packing.pack_documents(docs, tokenizer_path(), words=25_000).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [

@@ -235,8 +235,7 @@ def test_packing_ids_cover_and_fill(spark, docs, empty):
 
 def test_word_tokens_are_the_tokenizers_own():
     texts = ["It's we'll <|endoftext|> hi", "", "日本 Ünïcode ﬁ 'S don't 12½ a\xa0b ß İ", "x" * 300, "\x1c a\x85b  ǅ", "a.b, c., d.. e!, «f», ǵ h", "word, word. 3, 4."]
-    words = packing.WordTokens(tokenizer_path())
-    words.MOST = 3
+    words = packing.WordTokens(tokenizer_path(), 3)
     for _ in range(3):
         assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
