@@ -95,7 +95,7 @@ def sgd(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: int
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 6000) -> Model:
+def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 4000) -> Model:
     """The model fitted on at most most_rows labelled rows, the first in the order of their keys' hash.
 
     That bound is the only sample: its rows' bucket shares (not texts) come to the driver, at most most_rows times
