@@ -67,8 +67,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of texts that a Python worker gets at once, at most; Spark's own 10,000 long texts would fill its memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS if it is larger or unlimited."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns under our own names, so extra or clashing columns never matter."""
+    bounded_batches(df.sparkSession)
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 

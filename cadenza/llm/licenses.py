@@ -29,7 +29,7 @@ TEMPLATES = [
 ]
 THRESHOLD = Fraction(4, 5)
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def _words(texts: list[bytes]) -> Words:

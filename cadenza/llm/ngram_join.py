@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, chunks, components, lean, partitions, picked, stash
 from .shingles import shingle_sets
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _HEAVY_SHARE, _HEAVY_LEAST = 0.01, 64
 
 

@@ -15,7 +15,7 @@ from .shingles import SPACES, Words, splitmix
 
 BUCKETS = 1 << 17
 _IDENTITY = np.arange(256, dtype=np.uint8)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
