@@ -173,6 +173,15 @@ def _repeated(keys: list[int]):
     return rows
 
 
+_MAPS = ["m0", "m1", "m2", "m3"]
+
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of how many of the tokens fall on it: where two such maps differ, their sets do."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _ordered(percent: int):
     """Each set's shared tokens from all ranges in the global order: rarest first, then by value. Sets that hold too
     few of them to reach any other go."""
@@ -190,13 +199,14 @@ def _ordered(percent: int):
         sizes = np.ascontiguousarray(sigs[:, 16:]).view(np.uint32).ravel().astype(np.int64)
         needs = -(-sizes * percent // 100)
         kept = np.flatnonzero(np.diff(cuts) >= needs).tolist()
+        maps = np.array([_parities(tokens[cuts[i] : cuts[i + 1]]) for i in kept], np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([sigs[i, :16].tobytes() for i in kept], pa.binary()), pa.array(sizes[kept]), pa.array(needs[kept]),
                 pa.array([tokens[cuts[i] : cuts[i + 1]].tobytes() for i in kept], pa.binary()),
-                pa.array([int(sizes[i]) - cuts[i + 1] + cuts[i] for i in kept], pa.int64()),
+                pa.array([int(sizes[i]) - cuts[i + 1] + cuts[i] for i in kept], pa.int64()), *(pa.array(maps[:, j]) for j in range(4)),
             ],
-            names=["sig", "n", "need", "tokens", "alone"],
+            names=["sig", "n", "need", "tokens", "alone", *_MAPS],
         )
 
     return rows
@@ -205,10 +215,10 @@ def _ordered(percent: int):
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, sig, n, at): each set's prefix but for the tokens it holds alone, with positions in the global order."""
     for batch in batches:
-        for sig, n, need, tokens, alone in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "need", "tokens", "alone")), strict=True):
+        for sig, n, need, tokens, alone, *maps in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "need", "tokens", "alone", *_MAPS)), strict=True):
             prefix = np.frombuffer(tokens, np.int64)[: n - need + 1 - alone]
             k = len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array([sig] * k, pa.binary()), pa.array(np.full(k, n)), pa.array(np.full(k, alone)), pa.array(alone + np.arange(k))], names=["token", "sig", "n", "alone", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array([sig] * k, pa.binary()), pa.array(np.full(k, n)), pa.array(np.full(k, alone)), pa.array(alone + np.arange(k)), *(pa.array(np.full(k, m, np.int64)) for m in maps)], names=["token", "sig", "n", "alone", "at", *_MAPS])
 
 
 def _answers(percent: int):
@@ -284,7 +294,8 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
        tokens of its own). Links found join sets to components, and a set's best match becomes its leader.
     5. The rest exactly: index lists that still span several components are joined, only across components. Lists
        are cut into blocks by set size, and a posting visits only the blocks that its own position can still
-       reach (index-level skipping); positions bound what is left of both sets. Answers for a set are derived from
+       reach (index-level skipping); positions bound what is left of both sets, and
+       parity maps of 256 bits how many tokens they can't share. Answers for a set are derived from
        those of its leader (answer-level skipping). A group of thousands of near copies is thus one component
        after step 4 and emits no pairs here.
 
@@ -305,9 +316,9 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     keys = _even_keys(spark, count)
     blocks = docs.mapInArrow(lean(_token_blocks(width, keys, heavy)), _ROW)
     shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys)), _ROW)
-    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long")
+    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long, m0 long, m1 long, m2 long, m3 long")
     sets = stash(sets)
-    postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long"))
+    postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long, m0 long, m1 long, m2 long, m3 long"))
     labels, leaders, links = None, None, None
     for turn in range(rounds):
         listed = _labelled(postings, labels)
@@ -346,13 +357,16 @@ def _across(listed: DataFrame, percent: int) -> DataFrame:
     ratio = percent / 100
     # blocks by size: a partner of n or more tokens has at most n / ratio, so it is in the same block or the next
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(ratio)) + F.lit(1e-9)).cast("int")
-    index = listed.select("token", block.alias("block"), F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("component").alias("cy"))
+    index = listed.select("token", block.alias("block"), F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"), F.col("component").alias("cy"), F.col("alone").alias("ay"), *[F.col(m).alias(f"y{m}") for m in _MAPS])
     least = F.greatest(F.col("n").cast("double"), F.pow(F.lit(1 / ratio), F.col("block") - F.lit(1e-6)))
     reach = (F.col("n") - F.col("at")) * (100 + percent) >= (F.col("n") + F.floor(least)) * percent
     probes = listed.withColumn("block", F.explode(F.array(block - 0, block + 1))).where(reach)
-    probes = probes.select("token", "block", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("component").alias("cx"))
+    probes = probes.select("token", "block", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("component").alias("cx"), F.col("alone").alias("ax"), *[F.col(m).alias(f"x{m}") for m in _MAPS])
     rest = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
     able = rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    # tokens that one set holds alone and bits in which the parity maps differ are tokens that the two don't share
+    unlike = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in _MAPS), F.col("ax") + F.col("ay"))
+    able = able & (unlike * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     near = F.col("nx") * 100 >= F.col("ny") * percent
     return probes.join(index, ["token", "block"]).where((F.col("cx") != F.col("cy")) & order & near & able).select("x", "nx", "y").distinct()
