@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, components, lean, partitions, picked, stash
@@ -278,7 +278,7 @@ def _even_keys(spark: SparkSession, count: int) -> list[int]:
     return [found.get(p, p) for p in range(count)]
 
 
-def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 3, centres: int = 8) -> DataFrame:
     """(doc, n_shingles, component_id) of every row of df: which documents reach each other by links.
 
     Words are runs between ASCII spaces, A-Z folded. Two rows link when 100 * |intersection| >= percent * |union| of
@@ -290,8 +290,10 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
        stay with their sets. Sets with too few shared tokens to reach any other are done.
     3. Tokens are ordered by frequency; two linked sets share a token of their prefixes of n - need + 1 tokens.
        The prefixes form the inverted index.
-    4. Star rounds: in each index list every set is compared with one central set alone (that with the fewest
-       tokens of its own). Links found join sets to components, and a set's best match becomes its leader.
+    4. Star rounds: in each index list every set is compared with one central set alone (first that with the fewest
+       tokens of its own, and the best match becomes a set's leader; then one of `centres` random ones, so that a
+       group without a middle is tried from several sides). Links found join sets to components. Pairs that the
+       parity maps of step 5 rule out are not compared.
     5. The rest exactly: index lists that still span several components are joined, only across components. Lists
        are cut into blocks by set size, and a posting visits only the blocks that its own position can still
        reach (index-level skipping); positions bound what is left of both sets, and
@@ -322,10 +324,11 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     labels, leaders, links = None, None, None
     for turn in range(rounds):
         listed = _labelled(postings, labels)
-        rank = F.struct(-F.col("alone") / F.col("n"), "n", "sig") if turn == 0 else F.struct(F.xxhash64("sig"), "n", "sig")
-        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sig", "n", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
+        # later rounds have several centres: lists elect theirs by the token's remainder, each by an order of its own
+        rank = F.struct(-F.col("alone") / F.col("n"), "n", "sig") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig"), "n", "sig")
+        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sig", "n", "component", "alone", *_MAPS)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
         apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
-        near = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
+        near = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent) & _alike("n", "c.n", ["alone", *_MAPS], [f"c.{m}" for m in ("alone", *_MAPS)], percent)
         pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y")).distinct()
         found = stash(_verified(pairs, sets, leaders, percent))
         if turn == 0:
@@ -350,6 +353,15 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
+def _alike(nx: str, ny: str, x: list[str], y: list[str], percent: int) -> Column:
+    """Whether two sets of nx and ny tokens can link; x and y name their columns `alone` and the parity maps.
+
+    Tokens that one set holds alone and bits in which the maps differ are tokens that the two don't share.
+    """
+    unlike = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(x[1:], y[1:], strict=True)), F.col(x[0]) + F.col(y[0]))
+    return unlike * (100 + percent) <= (F.col(nx) + F.col(ny)) * (100 - percent)
+
+
 def _across(listed: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (x, nx, y) of different components that share a prefix token and pass all bounds."""
     mixed = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
@@ -364,9 +376,7 @@ def _across(listed: DataFrame, percent: int) -> DataFrame:
     probes = probes.select("token", "block", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("at").alias("atx"), F.col("component").alias("cx"), F.col("alone").alias("ax"), *[F.col(m).alias(f"x{m}") for m in _MAPS])
     rest = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty"))
     able = rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    # tokens that one set holds alone and bits in which the parity maps differ are tokens that the two don't share
-    unlike = sum((F.bit_count(F.col(f"x{m}").bitwiseXOR(F.col(f"y{m}"))) for m in _MAPS), F.col("ax") + F.col("ay"))
-    able = able & (unlike * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+    able = able & _alike("nx", "ny", ["ax", *(f"x{m}" for m in _MAPS)], ["ay", *(f"y{m}" for m in _MAPS)], percent)
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     near = F.col("nx") * 100 >= F.col("ny") * percent
     return probes.join(index, ["token", "block"]).where((F.col("cx") != F.col("cy")) & order & near & able).select("x", "nx", "y").distinct()
