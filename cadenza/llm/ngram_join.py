@@ -325,11 +325,15 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     for turn in range(rounds):
         listed = _labelled(postings, labels)
         # later rounds have several centres: lists elect theirs by the token's remainder, each by an order of its own
-        rank = F.struct(-F.col("alone") / F.col("n"), "n", "sig") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig"), "n", "sig")
-        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "sig", "n", "component", "alone", *_MAPS)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
+        rank = -F.col("alone") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig")
+        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "n", "sig", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
         apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
-        near = (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent) & _alike("n", "c.n", ["alone", *_MAPS], [f"c.{m}" for m in ("alone", *_MAPS)], percent)
-        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y")).distinct()
+        near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
+        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y"), F.col("c.n").alias("ny")).distinct()
+        # the maps join the few distinct pairs, so that the lists are shuffled without them
+        for side in "xy":
+            pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(m).alias(f"{side}{m}") for m in ("alone", *_MAPS)]), side)
+        pairs = pairs.where(_alike("nx", "ny", *([f"{side}{m}" for m in ("alone", *_MAPS)] for side in "xy"), percent)).select("x", "nx", "y")
         found = stash(_verified(pairs, sets, leaders, percent))
         if turn == 0:
             best = F.max_by(F.struct("y", "less", "more"), F.struct("jaccard", "y"))
