@@ -80,23 +80,27 @@ class Matcher:
             if not (rank < prefix).any():
                 continue
             step = len(tokens)
-            doc, position = owner[at], at - words.first[owner[at]]
-            # blocks of 2 * step words begin every step words: each word is in the block begun at its step and in the one before
-            doc, block, rank = np.concatenate([doc, doc]), np.concatenate([position // step, position // step - 1]), np.concatenate([rank, rank])
-            # length filter: a block with fewer words than needed can't hold them
-            room = (block >= 0) & (count[doc] - block * step >= need)
-            key = doc * (int(count.max()) // step + 2) + block
-            live = np.unique(key[room & (rank < prefix)])
-            room &= np.isin(key, live)
-            key, rank, doc = key[room], rank[room], doc[room]
-            pairs = np.unique(np.stack([key, rank, doc]), axis=1)
-            keys, start, total = np.unique(pairs[0], return_index=True, return_counts=True)
-            # positional filter: beyond the rarest token found at rank r, at most len - r can follow
-            able = step - pairs[1][start] >= need
-            for d, n in zip(pairs[2][start][able].tolist(), total[able].tolist(), strict=True):
-                if n >= need:
-                    labels[d].add(label)
-                    best[d] = max(best[d], n / step)
+            doc = owner[at]
+            # places in one line, with room between texts for no window to span two
+            place = at + doc * (2 * step)
+            # prefix filter: all words of a block that holds enough stand less than 2 * step words from one of its prefix words
+            rare = place[rank < prefix]
+            after = np.searchsorted(rare, place)
+            near = (place - rare[np.maximum(after - 1, 0)] < 2 * step) & (after > 0)
+            near |= (rare[np.minimum(after, len(rare) - 1)] - place < 2 * step) & (after < len(rare))
+            doc, place, rank = doc[near], place[near], rank[near]
+            # a block loses no token if it begins at its first one, so blocks begin at each hit; hit j is new to
+            # the blocks begun after the hit before it of the same token, as far back as 2 * step words reach
+            by = np.argsort(rank, kind="stable")
+            before = np.full(len(by), -1)
+            same = rank[by[1:]] == rank[by[:-1]]
+            before[by[1:][same]] = by[:-1][same]
+            begin = np.maximum(before + 1, np.searchsorted(place, place - 2 * step, side="right"))
+            total = np.cumsum(np.bincount(begin, minlength=len(by)) - np.concatenate([[0], np.ones(len(by) - 1, np.int64)]))
+            for i in np.flatnonzero(total >= need).tolist():
+                d, n = int(doc[i]), int(total[i])
+                labels[d].add(label)
+                best[d] = max(best[d], n / step)
         out = []
         for i, found in enumerate(base):
             starts = [p for p, _ in found]
@@ -129,10 +133,9 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", templa
 
     Words are runs of 0-9, a-z (A-Z folded) and non-ASCII characters. Base places are where a phrase's words stand
     consecutively. Beyond those, every text block is joined with every template: a template of n distinct words
-    takes as blocks all runs of 2n words that begin every n words, so any passage of up to n + 1 words lies whole
-    in one, and its label goes to the documents with a block that holds at least `threshold` of its distinct
-    words. The join is exact: tokens are ordered by their document frequency over all documents, only blocks with
-    one of a template's rarest len - need + 1 tokens are looked at, and length and position bounds cut the rest.
+    takes as blocks all runs of up to 2n words, wherever they begin, and its label goes to the documents with a
+    block that holds at least `threshold` of its distinct words. The join is exact: tokens are ordered by their document frequency over all documents, only blocks with
+    one of a template's rarest len - need + 1 tokens are looked at.
     Only the frequencies of template tokens reach the driver. score is the largest share found, 1 with a base place.
 
     Null and empty text: no words, empty labels, score 0. Every row gives one row, repeated ones and null keys too.

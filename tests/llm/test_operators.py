@@ -382,3 +382,24 @@ def test_licenses_against_all_blocks(spark, docs, empty):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and r.labels == ",".join(sorted(found)) and r.score == (1.0 if places else share)
     assert licenses.scan_licenses(docs).count() == len(DOCS) and licenses.scan_licenses(empty).count() == 0
+
+
+def test_licenses_wherever_a_block_begins(spark):
+    rng = random.Random(8)
+    notice = "This work is distributed to you and licensed under the terms of the GNU General Public License either version 3"
+    texts = ["w " * i + notice for i in range(26)]
+    for _ in range(150):  # templates with words lost and others put in, one after the other
+        own = [w for _ in range(rng.randrange(1, 5)) for w in rng.choice(licenses.TEMPLATES)[1].split()]
+        texts.append(" ".join(x for w in own for x in [w] * (rng.random() < 0.93) + [rng.choice(["q", "z", "the", "license"])] * (rng.random() < 0.5)))
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("key").collect()
+    assert all("gpl-3" in r.labels.split(",") and r.score == 1.0 for r in got[:26])
+    for r, text in zip(got, texts, strict=True):
+        words = text.lower().split()
+        found, share = set(filter(None, r.base_labels.split(","))), 1.0 if r.n_base else 0.0
+        for label, template in licenses.TEMPLATES:
+            own = set(template.split())
+            most = max(len(own & set(words[a : a + 2 * len(own)])) for a in range(len(words)))
+            if Fraction(most, len(own)) >= licenses.THRESHOLD:
+                found.add(label)
+                share = max(share, most / len(own))
+        assert (r.labels, r.score) == (",".join(sorted(found)), share)
