@@ -278,6 +278,27 @@ def _even_keys(spark: SparkSession, count: int) -> list[int]:
     return [found.get(p, p) for p in range(count)]
 
 
+def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3 of shingle_components: rows (doc, n, sig), classes (sig, least, n), sets that can reach others, postings."""
+    spark = df.sparkSession
+    docs = picked(df, doc=key, text=text).select(F.col("doc").cast("long").alias("doc"), "text")
+    first = stash(docs.mapInArrow(lean(_classes(width)), "doc long, n long, sig binary, heavy long, held long"))
+    rows = first.where("n is not null").select("doc", "n", "sig")
+    classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n")))
+    total = classes.count()
+    often = max(_HEAVY_LEAST, int(_HEAVY_SHARE * total))
+    heavy = first.where("heavy is not null").groupBy("heavy").agg(F.sum("held").alias("held")).where(F.col("held") >= often).select("heavy").toPandas()["heavy"].to_numpy(np.int64)
+    heavy = np.sort(heavy.view(np.uint64))
+    count = partitions(spark)
+    keys = _even_keys(spark, count)
+    blocks = docs.mapInArrow(lean(_token_blocks(width, keys, heavy)), _ROW)
+    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys)), _ROW)
+    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long, m0 long, m1 long, m2 long, m3 long")
+    sets = stash(sets)
+    postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long, m0 long, m1 long, m2 long, m3 long"))
+    return rows, classes, sets, postings
+
+
 def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 3, centres: int = 8) -> DataFrame:
     """(doc, n_shingles, component_id) of every row of df: which documents reach each other by links.
 
@@ -305,22 +326,7 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     link with nothing. A null key is never the smallest unless alone (its component_id is then null); rows that
     share a key are rows of their own. Empty tables give no rows.
     """
-    spark = df.sparkSession
-    docs = picked(df, doc=key, text=text).select(F.col("doc").cast("long").alias("doc"), "text")
-    first = stash(docs.mapInArrow(lean(_classes(width)), "doc long, n long, sig binary, heavy long, held long"))
-    rows = first.where("n is not null").select("doc", "n", "sig")
-    classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n")))
-    total = classes.count()
-    often = max(_HEAVY_LEAST, int(_HEAVY_SHARE * total))
-    heavy = first.where("heavy is not null").groupBy("heavy").agg(F.sum("held").alias("held")).where(F.col("held") >= often).select("heavy").toPandas()["heavy"].to_numpy(np.int64)
-    heavy = np.sort(heavy.view(np.uint64))
-    count = partitions(spark)
-    keys = _even_keys(spark, count)
-    blocks = docs.mapInArrow(lean(_token_blocks(width, keys, heavy)), _ROW)
-    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys)), _ROW)
-    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long, m0 long, m1 long, m2 long, m3 long")
-    sets = stash(sets)
-    postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long, m0 long, m1 long, m2 long, m3 long"))
+    rows, classes, sets, postings = _prepared(df, key, text, width, percent)
     labels, leaders, links = None, None, None
     for turn in range(rounds):
         listed = _labelled(postings, labels)
@@ -351,6 +357,24 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     return rows.where("sig is not null").join(of, "sig").select("doc", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
 
 
+def shingle_links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of the join of shingle_components, with every link, also inside components.
+
+    links has (x, y, jaccard) of each pair of different classes that links, once; members has (doc, n_shingles, sig,
+    n_links) of every row of df. A class is all rows of one shingle set, sig its digest, x and y are such digests.
+    The rows of a class link with each other; n_links counts the other rows that a row links with, of its class
+    and of those linked with it. Rows without shingles have a null sig and no links. The number of links can grow
+    with the square of a group of near copies, and so does this; shingle_components avoids that.
+    """
+    rows, _, sets, postings = _prepared(df, key, text, width, percent)
+    links = stash(_verified(_across(_labelled(postings, None), percent), sets, None, percent).select("x", "y", "jaccard"))
+    sizes = rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("size"))
+    ends = links.select(F.col("x").alias("sig"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("sig"), F.col("x").alias("other")))
+    reached = ends.join(sizes.select(F.col("sig").alias("other"), "size"), "other").groupBy("sig").agg(F.sum("size").alias("reached"))
+    counts = sizes.join(reached, "sig", "left").select("sig", (F.col("size") - 1 + F.coalesce("reached", F.lit(0))).alias("n_links"))
+    return links, rows.join(counts, "sig", "left").select("doc", F.col("n").alias("n_shingles"), "sig", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("component", F.col("sig"))

@@ -403,3 +403,19 @@ def test_licenses_wherever_a_block_begins(spark):
                 found.add(label)
                 share = max(share, most / len(own))
         assert (r.labels, r.score) == (",".join(sorted(found)), share)
+
+
+def test_ngram_links_against_all_pairs(spark, docs, empty):
+    links, members = ngram_join.shingle_links(docs)
+    sets = [_shingles(t) for _, t, *_ in DOCS]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = [(r[0], len(s), sum(linked(s, o) for j, o in enumerate(sets) if j != i)) for i, (r, s) in enumerate(zip(DOCS, sets, strict=True))]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    rows = members.collect()
+    assert sorted(key((r.doc, r.n_shingles, r.n_links)) for r in rows) == sorted(map(key, want))
+    classes = list({frozenset(s) for s in sets if s})
+    shares = sorted(len(a & b) / len(a | b) for i, a in enumerate(classes) for b in classes[:i] if linked(a, b))
+    found = links.collect()
+    assert len({frozenset((bytes(r.x), bytes(r.y))) for r in found}) == len(found) == len(shares) > len(classes) / 4
+    assert sorted(r.jaccard for r in found) == pytest.approx(shares)
+    assert all(frame.count() == 0 for frame in ngram_join.shingle_links(empty))
