@@ -24,8 +24,8 @@ def _digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _classes(width: int):
-    """Per text: its set's size and 128-bit digest; per chunk: the tokens that many of its sets hold."""
+def _classes(width: int, marked: bool = False):
+    """Per text: its set's size and 128-bit digest, and its mark if marked; per chunk: the tokens that many of its sets hold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,8 +47,9 @@ def _classes(width: int):
                         pa.array(digests + [None] * h, pa.binary()),
                         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(heavy, pa.int64())]),
                         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())]),
+                        *([pa.concat_arrays([batch.column("mark").slice(a, n), pa.nulls(h, pa.int64())])] if marked else []),
                     ],
-                    names=["doc", "n", "sig", "heavy", "held"],
+                    names=["doc", "n", "sig", "heavy", "held", *["mark"] * marked],
                 )
 
     return rows
@@ -278,13 +279,22 @@ def _even_keys(spark: SparkSession, count: int) -> list[int]:
     return [found.get(p, p) for p in range(count)]
 
 
-def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Steps 1 to 3 of shingle_components: rows (doc, n, sig), classes (sig, least, n), sets that can reach others, postings."""
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of a text; key and mark tell a row's text from others of its key."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3 of shingle_components: rows (doc, n, sig), classes (sig, least, n), sets that can reach others, postings.
+
+    If marked, rows have a mark too, and classes their number of rows and their first (no key, doc, mark)."""
     spark = df.sparkSession
     docs = picked(df, doc=key, text=text).select(F.col("doc").cast("long").alias("doc"), "text")
-    first = stash(docs.mapInArrow(lean(_classes(width)), "doc long, n long, sig binary, heavy long, held long"))
-    rows = first.where("n is not null").select("doc", "n", "sig")
-    classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n")))
+    marks = docs.withColumn("mark", text_mark(F.col("text"))) if marked else docs
+    first = stash(marks.mapInArrow(lean(_classes(width, marked)), "doc long, n long, sig binary, heavy long, held long" + ", mark long" * marked))
+    rows = first.where("n is not null").select("doc", "n", "sig", *["mark"] * marked)
+    lead = [F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")).alias("lead"), F.count("*").alias("rows")] if marked else []
+    classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n"), *lead))
     total = classes.count()
     often = max(_HEAVY_LEAST, int(_HEAVY_SHARE * total))
     heavy = first.where("heavy is not null").groupBy("heavy").agg(F.sum("held").alias("held")).where(F.col("held") >= often).select("heavy").toPandas()["heavy"].to_numpy(np.int64)
@@ -299,6 +309,37 @@ def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int) -> t
     return rows, classes, sets, postings
 
 
+def _class_labels(sets: DataFrame, postings: DataFrame, percent: int, rounds: int, centres: int) -> DataFrame:
+    """Steps 4 and 5 of shingle_components: (node, component) of the classes that link with others."""
+    labels, leaders, links = None, None, None
+    for turn in range(rounds):
+        listed = _labelled(postings, labels)
+        # later rounds have several centres: lists elect theirs by the token's remainder, each by an order of its own
+        rank = -F.col("alone") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig")
+        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "n", "sig", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
+        apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
+        near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
+        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y"), F.col("c.n").alias("ny")).distinct()
+        # the maps join the few distinct pairs, so that the lists are shuffled without them
+        for side in "xy":
+            pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(m).alias(f"{side}{m}") for m in ("alone", *_MAPS)]), side)
+        pairs = pairs.where(_alike("nx", "ny", *([f"{side}{m}" for m in ("alone", *_MAPS)] for side in "xy"), percent)).select("x", "nx", "y")
+        found = stash(_verified(pairs, sets, leaders, percent))
+        if turn == 0:
+            best = F.max_by(F.struct("y", "less", "more"), F.struct("jaccard", "y"))
+            leaders = stash(found.groupBy("x").agg(best.alias("b")).select("x", F.col("b.y").alias("lead"), F.col("b.less").alias("less"), F.col("b.more").alias("more")))
+        new = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+    apart = _across(_labelled(postings, labels), percent)
+    found = _verified(apart, sets, leaders, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(links.unionByName(found))
+
+
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    return classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+
 def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 3, centres: int = 8) -> DataFrame:
     """(doc, n_shingles, component_id) of every row of df: which documents reach each other by links.
 
@@ -327,36 +368,28 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     share a key are rows of their own. Empty tables give no rows.
     """
     rows, classes, sets, postings = _prepared(df, key, text, width, percent)
-    labels, leaders, links = None, None, None
-    for turn in range(rounds):
-        listed = _labelled(postings, labels)
-        # later rounds have several centres: lists elect theirs by the token's remainder, each by an order of its own
-        rank = -F.col("alone") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig")
-        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "n", "sig", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
-        apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
-        near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y"), F.col("c.n").alias("ny")).distinct()
-        # the maps join the few distinct pairs, so that the lists are shuffled without them
-        for side in "xy":
-            pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(m).alias(f"{side}{m}") for m in ("alone", *_MAPS)]), side)
-        pairs = pairs.where(_alike("nx", "ny", *([f"{side}{m}" for m in ("alone", *_MAPS)] for side in "xy"), percent)).select("x", "nx", "y")
-        found = stash(_verified(pairs, sets, leaders, percent))
-        if turn == 0:
-            best = F.max_by(F.struct("y", "less", "more"), F.struct("jaccard", "y"))
-            leaders = stash(found.groupBy("x").agg(best.alias("b")).select("x", F.col("b.y").alias("lead"), F.col("b.less").alias("less"), F.col("b.more").alias("more")))
-        new = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-    apart = _across(_labelled(postings, labels), percent)
-    found = _verified(apart, sets, leaders, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = components(links.unionByName(found))
-    named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    named = _named(classes, _class_labels(sets, postings, percent, rounds, centres))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(smallest, "component").select("sig", "component_id")
     lone = rows.where("sig is null").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     return rows.where("sig is not null").join(of, "sig").select("doc", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
 
 
+def copy_marks(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 3, centres: int = 8) -> DataFrame:
+    """(doc, mark, kept, n) of the rows in components of several rows: n rows have that key and text_mark.
+
+    kept is true for one (doc, mark) of each component of shingle_components: the smallest key, nulls last, and
+    of its texts there the one with the least mark.
+    """
+    rows, classes, sets, postings = _prepared(df, key, text, width, percent, True)
+    named = _named(classes, _class_labels(sets, postings, percent, rounds, centres))
+    lead = named.groupBy("component").agg(F.min("lead").alias("lead"), F.sum("rows").alias("rows")).where("rows > 1")
+    of = named.select("sig", "component").join(lead, "component").select("sig", "lead")
+    found = rows.where("sig is not null").join(of, "sig")
+    kept = F.col("doc").eqNullSafe(F.col("lead.doc")) & (F.col("mark") == F.col("lead.mark"))
+    return stash(found.select("doc", "mark", kept.alias("kept")).groupBy("doc", "mark", "kept").agg(F.count("*").alias("n")))
+
+
 def shingle_links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(links, members) of the join of shingle_components, with every link, also inside components.
 

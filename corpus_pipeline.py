@@ -26,10 +26,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group that links connect."""
-    found = ngram_join.shingle_components(docs)
-    gone = found.where("doc <> component_id").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group that links connect: the smallest doc_id's, null ones last.
+
+    What goes is decided by doc_id and text together. Of several texts of that doc_id in the group, the one with the
+    least hash stays, and of several such rows the least by all columns. Rows of the doc_id in other groups are not
+    touched. Texts without words, null ones too, link with nothing and all stay, as repeated rows as well.
+    """
+    found = ngram_join.copy_marks(docs)
+    mark = ngram_join.text_mark(F.col("text"))
+
+    def listed(marks: DataFrame, how: str) -> DataFrame:
+        marks = marks.select(F.col("doc").alias("doc_"), F.col("mark").alias("mark_"))
+        return docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_"]) & (mark == marks["mark_"]), how)
+
+    many = found.where("kept and n > 1")
+    if many.isEmpty():
+        return listed(found.where("not kept"), "left_anti").select(*docs.columns)
+    single = listed(many, "left_semi").groupBy("doc_id", mark.alias("mark_")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return listed(found.where("not kept or n > 1"), "left_anti").select(*docs.columns).unionByName(single)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

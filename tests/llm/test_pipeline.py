@@ -85,3 +85,16 @@ def test_the_entry_holds_all_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_copies_with_repeated_and_null_keys(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59)) + " end"
+    lone, other = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(1, same, "a"), (2, near, "a"), (2, lone, "a"), (3, other, "b"), (3, other, "a"), (3, other, "b"), (None, near, "a"), (None, "n " + lone, "a"), (9, None, "a"), (9, None, "a"), (None, "", "a"), (9, " ", "b")]
+    rows += [(None, f"z z1 z2 z3 {i} z4 z5", "a") for i in (1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert got == Counter([(1, same, "a"), (2, lone, "a"), (3, other, "a"), (9, None, "a"), (9, None, "a"), (None, "", "a"), (9, " ", "b"), (None, "z z1 z2 z3 1 z4 z5", "a")])
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+    distinct = docs.where("doc_id < 3").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, distinct.where("doc_id = 1"), SF).collect()} == {1}
