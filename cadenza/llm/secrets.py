@@ -63,8 +63,8 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     """(key, base, spans, n_live, n_example) of every row of df.
 
     base holds the spans of KINDS, in code points, end exclusive. The method then asks the whole corpus how many
-    owners and repositories hold each candidate value: one of at least copied_owners owners is a widely copied
-    example, and one that is owner-specific and live-looking (at least `varied` different characters, a digit
+    owners hold each candidate value (repositories take no part; ownership counts them): one of at least copied_owners
+    owners is a widely copied example, and one of fewer owners that is live-looking (at least `varied` different characters, a digit
     among them) is a credential. Each such verdict adds a span of kind `example` or `live` over the base span;
     base spans stay. Nulls: null text is empty, a null owner is one more owner, a null key one more repository.
     Every row of df, repeated ones too, gives one row. Empty tables give none.
