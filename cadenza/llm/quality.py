@@ -100,12 +100,15 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     That bound is the only sample: its rows' bucket shares (not texts) come to the driver, at most most_rows times
     the distinct n-grams of a text. Rows whose crc32(key as text) mod 4 is 2 are never used, nor null keys or
-    labels; a key with several labels takes the least. No labels: a model that scores 0.5 everywhere.
+    labels; a key with several labels takes the least, one with several texts that of the least hash. No labels: a
+    model that scores 0.5 everywhere.
     """
     marks = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).dropna()
     marks = marks.where(F.crc32(F.col("key").cast("string").cast("binary")) % 4 != 2).groupBy("key").agg(F.min("label").alias("label"))
     chosen = marks.withColumn("rank", F.xxhash64("key")).orderBy("rank", "key").limit(most_rows)
-    texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key").select("rank", "label", "text")
+    texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key")
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    texts = texts.groupBy("rank", "label", "key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("rank", "label", F.col("one.text").alias("text"))
     rows = texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary").toPandas()
     rows = rows.sort_values(["rank", "label", "ids"], kind="stable")
     return sgd([(int(r.label > 0), np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows.itertuples()])

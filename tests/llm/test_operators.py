@@ -419,3 +419,13 @@ def test_ngram_links_against_all_pairs(spark, docs, empty):
     assert len({frozenset((bytes(r.x), bytes(r.y))) for r in found}) == len(found) == len(shares) > len(classes) / 4
     assert sorted(r.jaccard for r in found) == pytest.approx(shares)
     assert all(frame.count() == 0 for frame in ngram_join.shingle_links(empty))
+
+
+def test_quality_is_fitted_on_one_text_a_key(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "sgd", lambda rows: given.append([(label, ids.tolist()) for label, ids, _ in rows]))
+    rows = [(i, f"text {i} of its own") for i in range(40)] + [(7, f"another text {j}") for j in range(300)] + [(7, None), (8, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for order in (rows, rows[::-1]):
+        quality.train(spark.createDataFrame(order, "doc_id long, text string").repartition(3), labels, most_rows=20)
+    assert given[0] == given[1] and len(given[0]) == 20
