@@ -236,7 +236,8 @@ def _frame_starts(data: bytes, at: int, points: list[tuple[int, int, int]], tota
 
 
 def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
-    """(first sample of each block, PCM of each block) of mono streams of up to 16 bits; raises FlacError on damage.
+    """(first sample of each block, PCM of each block) of mono streams of up to 16 bits; raises FlacError on damage
+    and on other streams.
 
     All frames of all streams advance in step, one sample at a time: a 64-bit window at each frame's bit position
     gives the unary part by its leading zeros and the Rice remainder behind it, and the linear predictor adds to
@@ -282,7 +283,7 @@ def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
     begin, size, body, depth = begin[rank], size[rank], body[rank], depth[rank]
     count, longest = len(size), int(size[0])
     pcm = np.zeros((longest, count), np.int64)
-    order, shift, porder, wide, rice = (np.zeros(count, np.int64) for _ in range(5))
+    order, shift, porder, wide, rice, wasted = (np.zeros(count, np.int64) for _ in range(6))
     coefs = np.zeros((32, count), np.int64)
     p = body * 8
     live = np.ones(count, bool)
@@ -298,13 +299,23 @@ def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
             return value >> left & (1 << n) - 1
 
         whole = left
-        kind = take(8) >> 1
+        kind = take(8)
+        if kind & 1:  # the samples' low bits that are all 0, counted in unary, aren't in the subframe
+            wasted[i] = 1
+            while wasted[i] < bits and not take(1):
+                wasted[i] += 1
+            bits -= int(wasted[i])
+            if bits < 1:
+                raise FlacError("no bits are left of the samples")
+        kind >>= 1
         signed = lambda v, n: v - (1 << n) if v >> (n - 1) else v
         if kind == 0:
             pcm[: size[i], i], live[i] = signed(take(bits), bits), False
             continue
         if kind == 1:
-            raw = int.from_bytes(joined[at + 1 : at + 1 + (int(size[i]) * bits + 7) // 8], "big") >> (-int(size[i]) * bits % 8)
+            start = at * 8 + whole - left
+            end = start + int(size[i]) * bits
+            raw = int.from_bytes(joined[start >> 3 : (end + 7) >> 3], "big") >> (-end % 8)
             pcm[: size[i], i] = [signed(raw >> bits * j & (1 << bits) - 1, bits) for j in range(int(size[i]) - 1, -1, -1)]
             live[i] = False
             continue
@@ -383,6 +394,8 @@ def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
         for i in range(min(j, depths)):
             total += coefs[i, sel] * pcm[j - 1 - i, sel]
         pcm[j, sel] = residual + (total >> shift[sel])
+    if wasted.any():
+        pcm <<= wasted
     back = np.empty(count, np.int64)
     back[rank] = np.arange(count)
     out, i = [], 0

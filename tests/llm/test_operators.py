@@ -421,6 +421,32 @@ def test_ngram_links_against_all_pairs(spark, docs, empty):
     assert all(frame.count() == 0 for frame in ngram_join.shingle_links(empty))
 
 
+def test_flac_reads_wasted_bits():
+    def stream(samples, subframe_bits, depth=8):
+        head = bytes([0xFF, 0xF8, 0x74, 0x02 if depth == 8 else 0x08, 0]) + (len(samples) - 1).to_bytes(2, "big")
+        head += bytes([flac._crc8(head)])
+        bits = subframe_bits + "0" * (-len(subframe_bits) % 8)
+        frame = head + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        frame += int(flac._crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+        info = len(samples).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | depth - 1 << 36 | len(samples)).to_bytes(8, "big") + bytes(16)
+        return b"fLaC\x80\x00\x00\x22" + info + frame
+
+    of = lambda x, n: f"{x & (1 << n) - 1:0{n}b}"
+    ramp = [4 * x for x in range(-32, 32)]
+    plain = "".join(of(x // 4, 6) for x in ramp)
+    wide = [256 * x for x in range(-32, 32)]
+    cases = [
+        ([20] * 64, "00000001" + "01" + of(5, 6), 8),
+        (ramp, "00000011" + "01" + plain, 8),
+        (ramp, "00010001" + "01" + "00" + "0000" + "1111" + "00110" + plain, 8),
+        (wide, "00000011" + "00000001" + "".join(of(x // 256, 8) for x in wide), 16),
+    ]
+    for samples, bits, depth in cases:
+        assert np.concatenate(flac.decode([stream(samples, bits, depth)])[0][1]).tolist() == samples
+    with pytest.raises(flac.FlacError):
+        flac.decode([stream([0] * 64, "00000001" + "0" * 40)])
+
+
 def test_quality_is_fitted_on_one_text_a_key(spark, monkeypatch):
     given = []
     monkeypatch.setattr(quality, "sgd", lambda rows: given.append([(label, ids.tolist()) for label, ids, _ in rows]))
