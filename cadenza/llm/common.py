@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _stashes: list[tuple[SparkSession, str]] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of
+    its own; on a cluster nothing but the setting can name a folder that all machines see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,23 +31,47 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation.
 
-    The plan runs once (checkpoint() may run its narrow part twice) and the copy is compressed. Folders go when
-    the process ends.
+    The plan runs once (checkpoint() may run its narrow part twice) and the copy is compressed. Folders go with
+    spent(), or when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _stashes.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def stash_buckets(df: DataFrame, column: str) -> DataFrame:
+    """As stash, in shuffle.partitions hash buckets of `column`: joins by it then shuffle the other side alone.
+
+    Rows that already lie in the partition of their bucket are written as one file a task.
+    """
+    spark, name = df.sparkSession, f"cadenza_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cadenza/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), column).saveAsTable(name)
+    _stashes.append((spark, path))
+    return spark.table(name)
+
+
+def spent(*frames: DataFrame | None) -> None:
+    """Deletes the folders of stash()'s frames that no later plan reads."""
+    for df in frames:
+        if df is not None and id(df) in _paths:
+            _deleted(df.sparkSession, _paths.pop(id(df))[1])
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _drop_stashes() -> None:
     for spark, path in _stashes:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _deleted(spark, path)
         except Exception:  # the session may be gone; its folder is then the cluster's to clear
             return
 
@@ -105,6 +133,30 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: A key of fewer rows is never split.
+SPLIT_LEAST = 20_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
+    """rows joined with table, which has one row a key; a key with many of the rows is split over several tasks.
+
+    rows is a stash. Keys with more than an even partition's share of it, at most as many as there are partitions
+    and so safe to broadcast, are joined apart: their rows are salted and their one row of table is repeated for each
+    salt. All other keys are joined as they are, so a table in buckets stays where it is.
+    """
+    least, total, count = SPLIT_LEAST if least is None else least, rows.count(), partitions(rows.sparkSession)
+    share = max(least, total // count)
+    if total <= share:
+        return rows.join(table, keys)
+    hot = stash(rows.groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") > share).select(*keys, F.ceil(F.col("n_") / share).alias("salts_")))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    salted = rows.join(F.broadcast(hot), keys).withColumn("salt_", F.pmod(F.xxhash64(*rows.columns), F.col("salts_")).cast("int")).drop("salts_")
+    repeated = table.join(F.broadcast(hot), keys).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("salts_").cast("int") - 1))).drop("salts_")
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys)
+    return cold.unionByName(salted.join(repeated, [*keys, "salt_"]).drop("salt_"))
+
+
 #: Edges that one task of components() takes: some tens of MB.
 TASK_EDGES = 1_000_000
 

@@ -11,11 +11,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, components, lean, partitions, picked, stash
+from .common import as_bytes, chunks, components, lean, partitions, picked, spent, split_join, stash, stash_buckets
 from .shingles import shingle_sets
 
 _CHUNK = 1 << 19
 _HEAVY_SHARE, _HEAVY_LEAST = 0.01, 64
+#: Bytes of tokens that the task of a set reducer orders at once.
+_AT_ONCE = 1 << 26
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -25,7 +27,8 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def _classes(width: int, marked: bool = False):
-    """Per text: its set's size and 128-bit digest, and its mark if marked; per chunk: the tokens that many of its sets hold."""
+    """Per text: its set's size and 128-bit digest, and its mark if marked; per chunk: the tokens that many of its sets
+    hold, and as a row without a token the number of its sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,14 +42,14 @@ def _classes(width: int, marked: bool = False):
                     tokens, counts = np.unique(np.concatenate(list(own.values())), return_counts=True)
                     much = counts >= max(3, _HEAVY_SHARE / 2 * len(own))
                     heavy, counts = tokens[much].view(np.int64), counts[much]
-                n, h = b - a, len(heavy)
+                n, h = b - a, len(heavy) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([batch.column("doc").slice(a, n), pa.nulls(h, pa.int64())]),
                         pa.array([len(s) for s in sets] + [None] * h, pa.int64()),
                         pa.array(digests + [None] * h, pa.binary()),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(heavy, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64), pa.int64())]),
+                        pa.concat_arrays([pa.nulls(n + 1, pa.int64()), pa.array(heavy, pa.int64())]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([len(own)], pa.int64()), pa.array(counts.astype(np.int64), pa.int64())]),
                         *([pa.concat_arrays([batch.column("mark").slice(a, n), pa.nulls(h, pa.int64())])] if marked else []),
                     ],
                     names=["doc", "n", "sig", "heavy", "held", *["mark"] * marked],
@@ -55,10 +58,10 @@ def _classes(width: int, marked: bool = False):
     return rows
 
 
-def _token_blocks(width: int, keys: list[int], heavy: np.ndarray):
+def _token_blocks(width: int, keys: list[int], subs: int, heavy: np.ndarray):
     """Per task, set and range of token values: the set's tokens in that range, as one row a chunk and range.
 
-    Sets are sent once a task, however many copies it has. Heavy tokens go along in rows of their own (range -1),
+    Sets are sent once a task, however many copies it has. Heavy tokens go along in rows of their own (negative ranges),
     to the reducer of their set, since nothing needs to be counted about them.
     """
     ranges = len(keys)
@@ -83,7 +86,7 @@ def _token_blocks(width: int, keys: list[int], heavy: np.ndarray):
                 if len(heavy):
                     place = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
                     light = heavy[place] != tokens
-                    yield from _by_set(keys, sigs, owner[~light], tokens[~light])
+                    yield from _by_set(keys, subs, sigs, owner[~light], tokens[~light])
                     part, owner, tokens = part[light], owner[light], tokens[light]
                 order = np.argsort(part, kind="stable")
                 part, owner, tokens = part[order], owner[order], tokens[order]
@@ -108,16 +111,35 @@ def _packed(part: int, key: int, sigs: np.ndarray, owner: np.ndarray, tokens: np
     yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["to", "part", "sigs", "counts", "tokens", "held"])
 
 
-def _by_set(keys: list[int], sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray, held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """As _packed, one row for each reducer of sets; a set's reducer follows from its digest."""
+def bucket_of(sigs: np.ndarray, count: int) -> np.ndarray:
+    """The hash partition that Spark gives 16-byte digests among `count` (its 32-bit Murmur3 with seed 42)."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+    h = np.full(len(sigs), 42, np.uint32)
+    with np.errstate(over="ignore"):
+        for word in np.ascontiguousarray(sigs[:, :16]).view("<u4").T:
+            h ^= turned(word * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(16)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64) % count
+
+
+def _by_set(keys: list[int], subs: int, sigs: np.ndarray, owner: np.ndarray, tokens: np.ndarray, held: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """As _packed, one row for each reducer of sets and each of its `subs` parts, numbered from -1 down; a set's place
+    follows from its digest, and its reducer is the partition that Spark's hash of the digest names."""
     held = np.full(len(tokens), _ALWAYS, np.uint32) if held is None else held
-    where = ((sigs[:, 0].astype(np.int64) << 24 | sigs[:, 1].astype(np.int64) << 16 | sigs[:, 2].astype(np.int64) << 8 | sigs[:, 3]) * len(keys) >> 32)[owner]
-    order = np.argsort(where, kind="stable")
-    where, owner, tokens, held = where[order], owner[order], tokens[order], held[order]
-    cuts = np.searchsorted(where, np.arange(len(keys) + 1))
-    for r in range(len(keys)):
-        own = slice(cuts[r], cuts[r + 1])
-        yield from _packed(-1, keys[r], sigs, owner[own], tokens[own], held[own])
+    part = (sigs[:, 8].astype(np.int64) << 8 | sigs[:, 9]) * subs >> 16
+    cell = (bucket_of(sigs, len(keys)) * subs + part)[owner]
+    order = np.argsort(cell, kind="stable")
+    cell, owner, tokens, held = cell[order], owner[order], tokens[order], held[order]
+    cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        to, sub = divmod(int(cell[a]), subs)
+        yield from _packed(-1 - sub, keys[to], sigs, owner[a:b], tokens[a:b], held[a:b])
 
 
 def _unpacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +156,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "counts", "tokens", "held")), strict=True)
 
 
-def _repeated(keys: list[int]):
+def _repeated(keys: list[int], subs: int):
     """Per range: the tokens that at least two different sets hold, packed again for the reducers of sets.
 
     Rows come sorted by range, so one range is in memory at a time. Rows of heavy tokens pass through.
@@ -152,7 +174,7 @@ def _repeated(keys: list[int]):
         some = number >= 2
         owner, tokens, number = owner[some], tokens[some], number[some].astype(np.uint32)
         order = np.argsort(owner, kind="stable")
-        yield from _by_set(keys, sigs, owner[order], tokens[order], number[order])
+        yield from _by_set(keys, subs, sigs, owner[order], tokens[order], number[order])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -183,14 +205,17 @@ def _parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+_SETS = "sig binary, n long, need long, tokens binary, prefix array<long>, alone long, m0 long, m1 long, m2 long, m3 long"
+
+
 def _ordered(percent: int):
-    """Each set's shared tokens from all ranges in the global order: rarest first, then by value. Sets that hold too
-    few of them to reach any other go."""
+    """Each set's shared tokens from all ranges in the global order: rarest first, then by value; prefix has those of
+    them that its prefix of n - need + 1 tokens reaches. Sets that hold too few to reach any other go.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [row for batch in batches for _, *row in _rows(batch)]
-        if not held:
-            return
+    Rows come sorted by part, so one part of the reducer's sets is in memory at a time.
+    """
+
+    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         sigs, owner, tokens, number = _unpacked(held)
         order = np.lexsort((tokens, number, owner))
         owner, tokens = owner[order], tokens[order]
@@ -199,77 +224,126 @@ def _ordered(percent: int):
         cuts = np.searchsorted(owner, np.arange(len(sigs) + 1)).tolist()
         sizes = np.ascontiguousarray(sigs[:, 16:]).view(np.uint32).ravel().astype(np.int64)
         needs = -(-sizes * percent // 100)
-        kept = np.flatnonzero(np.diff(cuts) >= needs).tolist()
-        maps = np.array([_parities(tokens[cuts[i] : cuts[i + 1]]) for i in kept], np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([sigs[i, :16].tobytes() for i in kept], pa.binary()), pa.array(sizes[kept]), pa.array(needs[kept]),
-                pa.array([tokens[cuts[i] : cuts[i + 1]].tobytes() for i in kept], pa.binary()),
-                pa.array([int(sizes[i]) - cuts[i + 1] + cuts[i] for i in kept], pa.int64()), *(pa.array(maps[:, j]) for j in range(4)),
-            ],
-            names=["sig", "n", "need", "tokens", "alone", *_MAPS],
-        )
+        able = np.flatnonzero(np.diff(cuts) >= needs)
+        for at in range(0, len(able), 1000):
+            kept = able[at : at + 1000].tolist()
+            own = [tokens[cuts[i] : cuts[i + 1]] for i in kept]
+            alone = sizes[kept] - [len(x) for x in own]
+            reach = (sizes[kept] - needs[kept] + 1 - alone).tolist()
+            maps = np.array([_parities(x) for x in own], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([sigs[i, :16].tobytes() for i in kept], pa.binary()), pa.array(sizes[kept]), pa.array(needs[kept]),
+                    pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x[:k].view(np.int64) for x, k in zip(own, reach, strict=True)], pa.list_(pa.int64())),
+                    pa.array(alone), *(pa.array(maps[:, j]) for j in range(4)),
+                ],
+                names=["sig", "n", "need", "tokens", "prefix", "alone", *_MAPS],
+            )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for part, *row in _rows(batch):
+                if part != at and held:
+                    yield from done(held)
+                    held = []
+                at = part
+                held.append(row)
+        if held:
+            yield from done(held)
 
     return rows
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, sig, n, at): each set's prefix but for the tokens it holds alone, with positions in the global order."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    return int(np.isin(a, b, assume_unique=True).sum()) if len(a) else 0
+
+
+def _need(nx: int, ny: int, percent: int) -> int:
+    """The least overlap with which sets of nx and ny tokens link."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
+_LINKS = "x binary, y binary, jaccard double, less binary, more binary"
+
+
+def _linked(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    types = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["x", "y", "jaccard", "less", "more"])
+
+
+def _compared(percent: int):
+    """Of the pairs (x, y) with both sets' tokens, those that link, with less = y - x and more = x - y."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, nx, own, y, ny, other in _columns(batch, "x", "nx", "base", "y", "ny", "other"):
+                mine, against = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+                shared = np.isin(mine, against, assume_unique=True)
+                overlap = int(shared.sum())
+                if overlap >= _need(nx, ny, percent):
+                    out.append((x, y, overlap / (nx + ny - overlap), against[~np.isin(against, mine, assume_unique=True)].tobytes(), mine[~shared].tobytes()))
+            yield _linked(out)
+
+    return rows
+
+
+def _leaders_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """|lead & y| of pairs with both sets' tokens, and y's tokens for the leader's followers."""
     for batch in batches:
-        for sig, n, need, tokens, alone, *maps in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "need", "tokens", "alone", *_MAPS)), strict=True):
-            prefix = np.frombuffer(tokens, np.int64)[: n - need + 1 - alone]
-            k = len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array([sig] * k, pa.binary()), pa.array(np.full(k, n)), pa.array(np.full(k, alone)), pa.array(alone + np.arange(k)), *(pa.array(np.full(k, m, np.int64)) for m in maps)], names=["token", "sig", "n", "alone", "at", *_MAPS])
+        out = [(lead, y, ny, other, _common(np.frombuffer(base, np.uint64), np.frombuffer(other, np.uint64))) for lead, base, y, ny, other in _columns(batch, "lead", "base", "y", "ny", "other")]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lead", "y", "ny", "other", "got"])
 
 
-def _answers(percent: int):
-    """Overlaps of pairs (x, y), each derived from the overlap of x's leader with y.
+def _derived(percent: int):
+    """The pairs (x, y) that link, from the answer of x's leader L for y: |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|.
 
-    With L the leader of x, |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|: the leader's answer for y is
-    computed once and kept, and its followers' answers cost only their small differences. Bounds from the sizes
-    of the differences settle many pairs without even those. A set without a leader is its own.
+    The sizes of the differences settle many pairs without even those.
     """
 
-    def common(a: np.ndarray, b: np.ndarray) -> int:
-        return int(np.isin(a, b, assume_unique=True).sum()) if len(a) else 0
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[tuple, int] = OrderedDict()
         for batch in batches:
             out = []
-            for x, nx, lead, less, more, base, y, ny, other in zip(*(batch.column(c).to_pylist() for c in ("x", "nx", "lead", "less", "more", "base", "y", "ny", "other")), strict=True):
-                need = -(-percent * (nx + ny) // (100 + percent))
-                own, against = np.frombuffer(base, np.uint64), np.frombuffer(other, np.uint64)
-                if (got := known.get((lead, y))) is None:
-                    got = known[lead, y] = common(own, against)
-                    if len(known) > 20_000:
-                        known.popitem(last=False)
+            for x, nx, less, more, y, ny, other, got in _columns(batch, "x", "nx", "less", "more", "y", "ny", "other", "got"):
                 gone, come = np.frombuffer(less, np.uint64), np.frombuffer(more, np.uint64)
+                need = _need(nx, ny, percent)
                 if got + len(come) < need:
                     continue
-                overlap = got - common(gone, against) + common(come, against)
-                if overlap < need:
-                    continue
-                mine = own if not len(gone) and not len(come) else np.concatenate([np.setdiff1d(own, gone), come])
-                out.append((x, y, overlap / (nx + ny - overlap), np.setdiff1d(against, mine).tobytes(), np.setdiff1d(mine, against).tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            types = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["x", "y", "jaccard", "less", "more"])
+                against = np.frombuffer(other, np.uint64)
+                overlap = got - _common(gone, against) + _common(come, against)
+                if overlap >= need:
+                    out.append((x, y, overlap / (nx + ny - overlap), b"", b""))
+            yield _linked(out)
 
     return rows
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, leaders: DataFrame | None, percent: int) -> DataFrame:
-    """(x, y, jaccard, less, more) of the pairs (x, nx, y) that link; less = y - x and more = x - y over shared tokens."""
-    empty = F.lit(b"").cast("binary")
+    """(x, y, jaccard, less, more) of the pairs (x, nx, y) that link; pairs is a stash.
+
+    Without leaders every pair is compared, and less and more are y - x and x - y over shared tokens. With them a
+    set's answers follow from its leader's: the tokens of y travel once for a leader and y, however many followers
+    ask, and a follower brings no more than its differences from the leader. A set without a leader is its own.
+    """
+    other = sets.select(F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("other"))
     if leaders is None:
-        pairs = pairs.select("*", F.col("x").alias("lead"), empty.alias("less"), empty.alias("more"))
-    else:
-        led = leaders.select("x", "lead", "less", "more")
-        pairs = pairs.join(led, "x", "left").select("x", "nx", "y", F.coalesce("lead", "x").alias("lead"), F.coalesce("less", empty).alias("less"), F.coalesce("more", empty).alias("more"))
-    pairs = pairs.join(sets.select(F.col("sig").alias("lead"), F.col("tokens").alias("base")), "lead")
-    pairs = pairs.join(sets.select(F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("other")), "y")
-    return pairs.select("x", "nx", "lead", "less", "more", "base", "y", "ny", "other").mapInArrow(_answers(percent), "x binary, y binary, jaccard double, less binary, more binary")
+        base = sets.select(F.col("sig").alias("x"), F.col("tokens").alias("base"))
+        return split_join(pairs, other, ["y"]).join(base, "x").mapInArrow(_compared(percent), _LINKS)
+    empty = F.lit(b"").cast("binary")
+    led = pairs.join(leaders, "x", "left").select("x", "nx", "y", F.coalesce("lead", "x").alias("lead"), F.coalesce("less", empty).alias("less"), F.coalesce("more", empty).alias("more"))
+    led = stash(led)
+    asked = stash(led.select("lead", "y").distinct())
+    base = sets.select(F.col("sig").alias("lead"), F.col("tokens").alias("base"))
+    answers = split_join(asked, other, ["y"]).join(base, "lead").mapInArrow(_leaders_answers, "lead binary, y binary, ny long, other binary, got long")
+    return split_join(led, answers, ["lead", "y"]).mapInArrow(_derived(percent), _LINKS)
 
 
 def _even_keys(spark: SparkSession, count: int) -> list[int]:
@@ -284,8 +358,8 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Steps 1 to 3 of shingle_components: rows (doc, n, sig), classes (sig, least, n), sets that can reach others, postings.
+def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 1 to 3 of shingle_components: rows (doc, n, sig), classes (sig, least, n), sets that can reach others.
 
     If marked, rows have a mark too, and classes their number of rows and their first (no key, doc, mark)."""
     spark = df.sparkSession
@@ -295,35 +369,44 @@ def _prepared(df: DataFrame, key: str, text: str, width: int, percent: int, mark
     rows = first.where("n is not null").select("doc", "n", "sig", *["mark"] * marked)
     lead = [F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")).alias("lead"), F.count("*").alias("rows")] if marked else []
     classes = stash(rows.where("sig is not null").groupBy("sig").agg(F.min("doc").alias("least"), F.first("n").alias("n"), *lead))
-    total = classes.count()
-    often = max(_HEAVY_LEAST, int(_HEAVY_SHARE * total))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    # tokens of 1 % of the sets, counted once a chunk that holds them: at most 100 times the mean set size
+    appearances = first.where("n is null and heavy is null").agg(F.sum("held")).first()[0] or 0
+    often = max(_HEAVY_LEAST, int(_HEAVY_SHARE * appearances))
     heavy = first.where("heavy is not null").groupBy("heavy").agg(F.sum("held").alias("held")).where(F.col("held") >= often).select("heavy").toPandas()["heavy"].to_numpy(np.int64)
     heavy = np.sort(heavy.view(np.uint64))
     count = partitions(spark)
-    keys = _even_keys(spark, count)
-    blocks = docs.mapInArrow(lean(_token_blocks(width, keys, heavy)), _ROW)
-    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys)), _ROW)
-    sets = shared.repartition(count, "to").mapInArrow(lean(_ordered(percent)), "sig binary, n long, need long, tokens binary, alone long, m0 long, m1 long, m2 long, m3 long")
-    sets = stash(sets)
-    postings = stash(sets.mapInArrow(_postings, "token long, sig binary, n long, alone long, at long, m0 long, m1 long, m2 long, m3 long"))
-    return rows, classes, sets, postings
+    keys, subs = _even_keys(spark, count), max(1, min(1 << 16, -(-8 * total // (count * _AT_ONCE))))
+    blocks = docs.mapInArrow(lean(_token_blocks(width, keys, subs, heavy)), _ROW)
+    shared = blocks.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_repeated(keys, subs)), _ROW)
+    sets = shared.repartition(count, "to").sortWithinPartitions("part").mapInArrow(lean(_ordered(percent)), _SETS)
+    return rows, classes, stash_buckets(sets, "sig")
 
 
-def _class_labels(sets: DataFrame, postings: DataFrame, percent: int, rounds: int, centres: int) -> DataFrame:
+def _postings(sets: DataFrame) -> DataFrame:
+    """(sig, at, token): each set's prefix but for the tokens it holds alone, with positions in the global order."""
+    return sets.select("sig", "alone", F.posexplode("prefix").alias("i", "token")).select("sig", (F.col("alone") + F.col("i")).alias("at"), "token")
+
+
+def _class_labels(sets: DataFrame, percent: int, rounds: int, centres: int) -> DataFrame:
     """Steps 4 and 5 of shingle_components: (node, component) of the classes that link with others."""
-    labels, leaders, links = None, None, None
+    live, labels, leaders, links = _postings(sets), None, None, None
     for turn in range(rounds):
-        listed = _labelled(postings, labels)
+        listed = _labelled(live, sets, labels, "n", "alone")
         # later rounds have several centres: lists elect theirs by the token's remainder, each by an order of its own
         rank = -F.col("alone") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), F.pmod("token", F.lit(centres)), "sig")
-        centre = listed.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "n", "sig", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token", "c")
-        apart = listed.join(centre, "token").where(F.col("component") != F.col("c.component"))
-        near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-        pairs = apart.where(near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c.sig").alias("y"), F.col("c.n").alias("ny")).distinct()
+        who = F.struct(rank.alias("rank"), "n", "sig", *["component"] * (turn > 0))
+        several = F.count("*") > 1 if turn == 0 else F.min("component") != F.max("component")
+        centre = listed.groupBy("token").agg(F.max(who).alias("c"), several.alias("several")).where("several").select("token", "c")
+        own = [F.col("component"), F.col("c.component").alias("cy")] if turn else [F.col("sig").alias("component"), F.col("c.sig").alias("cy")]
+        before, live = live, stash(listed.join(centre, "token").select("token", "sig", "at", "n", *own, F.col("c.sig").alias("y"), F.col("c.n").alias("ny")))
+        near = F.least("n", "ny") * 100 >= F.greatest("n", "ny") * percent
+        pairs = live.where((F.col("component") != F.col("cy")) & near).select(F.col("sig").alias("x"), F.col("n").alias("nx"), "y", "ny").distinct()
+        spent(before)
         # the maps join the few distinct pairs, so that the lists are shuffled without them
         for side in "xy":
             pairs = pairs.join(sets.select(F.col("sig").alias(side), *[F.col(m).alias(f"{side}{m}") for m in ("alone", *_MAPS)]), side)
-        pairs = pairs.where(_alike("nx", "ny", *([f"{side}{m}" for m in ("alone", *_MAPS)] for side in "xy"), percent)).select("x", "nx", "y")
+        pairs = stash(pairs.where(_alike("nx", "ny", *([f"{side}{m}" for m in ("alone", *_MAPS)] for side in "xy"), percent)).select("x", "nx", "y"))
         found = stash(_verified(pairs, sets, leaders, percent))
         if turn == 0:
             best = F.max_by(F.struct("y", "less", "more"), F.struct("jaccard", "y"))
@@ -331,9 +414,11 @@ def _class_labels(sets: DataFrame, postings: DataFrame, percent: int, rounds: in
         new = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    apart = _across(_labelled(postings, labels), percent)
+    apart = stash(_across(_labelled(live, sets, labels, "n", "alone", *_MAPS), percent))
     found = _verified(apart, sets, leaders, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return components(links.unionByName(found))
+    labels = components(links.unionByName(found))
+    spent(live, apart, leaders)
+    return labels
 
 
 def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,27 +433,29 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
 
     1. Equal sets are one class, by 128-bit digest; from here on, a class is one set.
     2. Shingle hashes, sent once a class and task, are range-partitioned to count the sets that hold each. Tokens
-       that over 1 % of all sets hold (a bounded list: no more than 100 times the mean set size) need no count and
-       stay with their sets. Sets with too few shared tokens to reach any other are done.
+       that over 1 % of all sets hold, a set counted once in each chunk of texts that has it (a bounded list: no more
+       than 100 times the mean set size), need no count and stay with their sets. Sets with too few shared tokens to
+       reach any other are done. The rest lie in hash buckets of their digests, where pairs find them without moving
+       them again.
     3. Tokens are ordered by frequency; two linked sets share a token of their prefixes of n - need + 1 tokens.
        The prefixes form the inverted index.
     4. Star rounds: in each index list every set is compared with one central set alone (first that with the fewest
        tokens of its own, and the best match becomes a set's leader; then one of `centres` random ones, so that a
-       group without a middle is tried from several sides). Links found join sets to components. Pairs that the
-       parity maps of step 5 rule out are not compared.
+       group without a middle is tried from several sides). Links found join sets to components, and lists of one
+       component are left out from then on. Pairs that the parity maps of step 5 rule out are not compared.
     5. The rest exactly: index lists that still span several components are joined, only across components. Lists
        are cut into blocks by set size, and a posting visits only the blocks that its own position can still
        reach (index-level skipping); positions bound what is left of both sets, and
        parity maps of 256 bits how many tokens they can't share. Answers for a set are derived from
-       those of its leader (answer-level skipping). A group of thousands of near copies is thus one component
+       those of its leader (answer-level skipping), from round two on. A group of thousands of near copies is thus one component
        after step 4 and emits no pairs here.
 
     component_id is the smallest key reachable, the row's own included. Null and empty texts have no shingles and
     link with nothing. A null key is never the smallest unless alone (its component_id is then null); rows that
     share a key are rows of their own. Empty tables give no rows.
     """
-    rows, classes, sets, postings = _prepared(df, key, text, width, percent)
-    named = _named(classes, _class_labels(sets, postings, percent, rounds, centres))
+    rows, classes, sets = _prepared(df, key, text, width, percent)
+    named = _named(classes, _class_labels(sets, percent, rounds, centres))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(smallest, "component").select("sig", "component_id")
     lone = rows.where("sig is null").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
@@ -381,8 +468,8 @@ def copy_marks(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     kept is true for one (doc, mark) of each component of shingle_components: the smallest key, nulls last, and
     of its texts there the one with the least mark.
     """
-    rows, classes, sets, postings = _prepared(df, key, text, width, percent, True)
-    named = _named(classes, _class_labels(sets, postings, percent, rounds, centres))
+    rows, classes, sets = _prepared(df, key, text, width, percent, True)
+    named = _named(classes, _class_labels(sets, percent, rounds, centres))
     lead = named.groupBy("component").agg(F.min("lead").alias("lead"), F.sum("rows").alias("rows")).where("rows > 1")
     of = named.select("sig", "component").join(lead, "component").select("sig", "lead")
     found = rows.where("sig is not null").join(of, "sig")
@@ -399,8 +486,9 @@ def shingle_links(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     and of those linked with it. Rows without shingles have a null sig and no links. The number of links can grow
     with the square of a group of near copies, and so does this; shingle_components avoids that.
     """
-    rows, _, sets, postings = _prepared(df, key, text, width, percent)
-    links = stash(_verified(_across(_labelled(postings, None), percent), sets, None, percent).select("x", "y", "jaccard"))
+    rows, _, sets = _prepared(df, key, text, width, percent)
+    apart = stash(_across(_labelled(_postings(sets), sets, None, "n", "alone", *_MAPS), percent))
+    links = stash(_verified(apart, sets, None, percent).select("x", "y", "jaccard"))
     sizes = rows.where("sig is not null").groupBy("sig").agg(F.count("*").alias("size"))
     ends = links.select(F.col("x").alias("sig"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("sig"), F.col("x").alias("other")))
     reached = ends.join(sizes.select(F.col("sig").alias("other"), "size"), "other").groupBy("sig").agg(F.sum("size").alias("reached"))
@@ -408,10 +496,14 @@ def shingle_links(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return links, rows.join(counts, "sig", "left").select("doc", F.col("n").alias("n_shingles"), "sig", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(live: DataFrame, sets: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame:
+    """(token, sig, at, columns..., component) of the postings `live`; the columns are those of their sets."""
+    named = sets.select("sig", *columns)
     if labels is None:
-        return postings.withColumn("component", F.col("sig"))
-    return postings.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        named = named.withColumn("component", F.col("sig"))
+    else:
+        named = named.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    return live.select("token", "sig", "at").join(named, "sig")
 
 
 def _alike(nx: str, ny: str, x: list[str], y: list[str], percent: int) -> Column:

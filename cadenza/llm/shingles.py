@@ -18,18 +18,33 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
-def _bytes_table() -> np.ndarray:
-    return splitmix(np.arange(1, 257, dtype=np.uint64) * _BASE + np.uint64(_SEED))
+#: Words of more bytes are hashed one by one; shorter ones all at once, eight bytes a step.
+_LONG = 64
 
 
 @functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first `size` powers of the base and of its inverse modulo 2^64."""
-    inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-    one = np.ones(1, np.uint64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([one, np.full(size - 1, x)]), dtype=np.uint64) for x in (_BASE, inverse))
+def _masks() -> np.ndarray:
+    """Which bits of eight little-endian bytes belong to a word that has 0 to 8 of them left."""
+    return np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range. Every step is a bijection of the hash so far and the next eight bytes, so
+    no structure of the bytes cancels out, as it does in polynomials modulo 2^64. padded has eight spare bytes."""
+    import xxhash
+
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    left = ends - starts
+    out = splitmix(left.astype(np.uint64) * _BASE + np.uint64(_SEED))
+    out = splitmix(out ^ (lanes[starts] & _masks()[np.minimum(left, 8)]))
+    for at in range(8, _LONG, 8):
+        more = np.flatnonzero((left > at) & (left <= _LONG))
+        if not len(more):
+            break
+        out[more] = splitmix(out[more] ^ (lanes[starts[more] + at] & _masks()[np.minimum(left[more] - at, 8)]))
+    for i in np.flatnonzero(left > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]].data, _SEED)
+    return out
 
 
 class Words:
@@ -37,20 +52,16 @@ class Words:
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray, fold: np.ndarray):
         """is_word, fold: tables over byte values; a word is a maximal run of is_word bytes, folded before hashing."""
-        data = fold[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+        padded = fold[np.frombuffer(b" ".join([*texts, b""]) + bytes(8), np.uint8)]
+        data = padded[:-8]
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         inside = is_word[data]
         inside[ends - 1] = False
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         self.data, self.text_starts = data, np.concatenate([[0], ends])
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = 1 << max(16, int(len(data)).bit_length())
-        forth, back = _powers(size)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_bytes_table()[data] * forth[: len(data)], out=sums[1:])
-            raw = (sums[self.ends] - sums[self.starts]) * back[self.starts]
-            self.hashes = splitmix(raw + (self.ends - self.starts).astype(np.uint64) * _BASE)
+            self.hashes = _word_hashes(padded, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.text_starts)
 
     def counts(self) -> np.ndarray:
