@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, picked, stash
+from .common import fresh, lean, partitions, picked, stash
 
 _STRIP = " \t\n\x0b\x0c\r"
 _LEAST = -(2**63)
@@ -56,11 +56,11 @@ def _with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(np.full(len(doc), part, np.int32))], names=[*batch.schema.names, "first", "part"])
 
 
-def _bitmap(positions: list[int]) -> bytes:
+def _bitmap(positions) -> bytes:
     """A compressed bitmap in which the bits of dropped lines are 0 and all other bits up to the last dropped line 1."""
     import zlib
 
-    bits = np.ones(-(-(max(positions) + 1) // 8) * 8, bool)  # whole bytes: packing pads with 0
+    bits = np.ones(-(-(int(np.max(positions)) + 1) // 8) * 8, bool)  # whole bytes: packing pads with 0
     bits[positions] = False
     return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6)
 
@@ -105,8 +105,21 @@ def line_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", least_c
             open_key, open_first = tuple(hi)[:2], hi[2]
     edges = spark.createDataFrame(carried, "part int, high long, low long, earlier long")
     dropped = streamed.join(F.broadcast(edges), ["part", "high", "low"], "left").where(F.col("doc") != F.coalesce("earlier", "first")).select("doc", "text_hash", "at")
-    to_bitmap = F.udf(_bitmap, "binary")
-    return dropped.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("ats")).select("doc", "text_hash", to_bitmap("ats").alias("bitmap"), F.size("ats").cast("long").alias("n_dropped"))
+    # a document's positions come in runs of 65536 lines, so no array outgrows that
+    parts = dropped.groupBy("doc", "text_hash", F.shiftright("at", 16).alias("run")).agg(F.collect_set(F.col("at").bitwiseAND(65535)).alias("ats"))
+    sized = parts.groupBy("doc", "text_hash").agg(F.sum(F.size("ats")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("run", "ats"))).alias("runs"))
+    return sized.mapInArrow(lean(_bitmaps), "doc long, text_hash long, bitmap binary, n_dropped long")
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for runs in batch.column("runs"):
+            found = runs.values
+            number, ats = found.field("run").to_numpy(), found.field("ats")
+            sizes = np.diff(ats.offsets.to_numpy())
+            made.append(_bitmap(np.repeat(number.astype(np.int64) << 16, sizes) + ats.flatten().to_numpy()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), pa.array(made, pa.binary()), batch.column("n_dropped")], names=["doc", "text_hash", "bitmap", "n_dropped"])
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -142,12 +155,16 @@ def _matched(df: DataFrame, bitmaps: DataFrame, key: str, text: str) -> DataFram
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 10) -> DataFrame:
-    """df with n_lines, n_dropped and text without the dropped lines; the other columns stay as they are."""
+    """df with n_lines, n_dropped and text without the dropped lines; the other columns stay as they are.
+
+    Columns of df that have those names already stay too: ours are then called n_lines_ and n_dropped_. For nulls,
+    repeated keys and empty tables see line_bitmaps; repeated rows stay repeated, each without the same lines.
+    """
     rows = _matched(df, line_bitmaps(df, key, text, least_chars), key, text).select("whole", "text", "bitmap")
     schema = rows.select("whole").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     out = rows.mapInArrow(lean(_apply), schema)
     columns = [F.col("kept").alias(c) if c == text else F.col("whole")[c].alias(c) for c in df.columns]
-    return out.select(*columns, *[c for c in ("n_lines", "n_dropped") if c not in df.columns])
+    return out.select(*columns, *[F.col(c).alias(name) for c, name in zip(("n_lines", "n_dropped"), fresh(df, "n_lines", "n_dropped"), strict=True)])
 
 
 def line_digests(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 10) -> DataFrame:

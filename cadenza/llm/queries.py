@@ -91,7 +91,7 @@ e AS (SELECT *, CASE WHEN max(share) OVER () / min(share) OVER () <= 2.0 THEN 0.
 w AS (SELECT *, pow(share, exponent) / sum(pow(share, exponent)) OVER () AS weight FROM e),
 q AS (SELECT name, total, exponent, weight,
              greatest(floor(max(total / weight) OVER () * weight + 1e-6)::BIGINT, total) AS quota,
-             least(65536, greatest(1, total // 1048576)) AS blocks FROM w),
+             greatest(1, total // 1048576) AS blocks FROM w),
 dealt AS (SELECT l.*, ('0x' || substr(mark, 1, 8))::BIGINT % q.blocks AS block FROM light l JOIN q USING (name)),
 pb AS (SELECT name, block, sum(tokens)::BIGINT AS block_size FROM dealt GROUP BY ALL),
 ep AS (SELECT name, block, block_size, total, quota, weight, exponent, unnest(range(0, (quota - 1) // total + 1)) AS epoch FROM pb JOIN q USING (name)),
@@ -145,14 +145,14 @@ def _secret_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, source, no, kind, v, i, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a, length(m[i]) AS n FROM ({parts})),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM s GROUP BY v),
-j AS (SELECT s.*, CASE WHEN owners >= 3 THEN 'example' WHEN len(list_distinct(string_split(v, ''))) >= 8 AND regexp_matches(v, '[0-9]') THEN 'live' END AS verdict FROM s JOIN o USING (v)),
+o AS (SELECT v, count(*) AS owners, sum(n)::BIGINT AS repositories FROM (SELECT v, source, count(*) AS n FROM (SELECT DISTINCT v, source, doc_id FROM s) GROUP BY v, source) GROUP BY v),
+j AS (SELECT s.*, owners, repositories, CASE WHEN owners >= 3 OR repositories >= 16 THEN 'example' WHEN owners = 1 AND len(list_distinct(string_split(v, ''))) >= 8 AND regexp_matches(v, '[0-9]') THEN 'live' END AS verdict FROM s JOIN o USING (v)),
 b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-        string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) AS base, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM j GROUP BY doc_id),
+        string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no) AS base, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example, max(owners) AS most_owners, max(repositories) AS most_repositories FROM j GROUP BY doc_id),
 u AS (SELECT doc_id, a, no, kind, n, v FROM j UNION ALL SELECT doc_id, a, CASE verdict WHEN 'live' THEN 3 ELSE 4 END, verdict, n, v FROM j WHERE verdict IS NOT NULL),
 x AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no, n) AS spans FROM u GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
