@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import functools
-import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,80 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, lean, picked, stash
+from .word_ids import WordTokens
 
 _PIECE = "key {key}, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-class WordTokens:
-    """The token ids of words as little-endian uint32 bytes, learned from the tokenizer as words appear.
-
-    The tokenizer never joins characters across white space, so a text's ids are those of its space-separated words
-    in a row. Only texts of ASCII and Latin-1 letters and marks go this way, where its normalisation is
-    lower-casing; all others go through it whole. Memory is bounded: words that came once make room for new ones.
-    """
-
-    OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
-
-    def __init__(self, path: str, room: int = 150_000):
-        """room: how many words that came once are known; those that came again are at most twice as many more."""
-        from tokenizers import Tokenizer
-
-        self.room = room
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.kept: set[str] = set()
-
-    def needed(self, words: set[str]) -> None:
-        """Makes the words known. A word that comes again after the chunk that brought it is kept; others make room."""
-        unknown = words.difference(self.known)
-        self.kept |= (words - unknown)
-        if len(self.known) > len(self.kept) + self.room:
-            if len(self.kept) > 2 * self.room:
-                self.kept = words - unknown
-            self.known = {w: self.known[w] for w in self.kept}
-        if unknown:
-            self.learn(unknown)
-
-    def learn(self, words: set[str]) -> None:
-        """Adds the words, none of which is known."""
-        # a mark behind a letter is a token of its own: only the stem needs the tokenizer
-        ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()]
-        stems = (words.difference(ended) | {w[:-1] for w in ended} | {w[-1] for w in ended}).difference(self.known)
-        plain = [w for w in stems if w.isalpha()]
-        for a in range(0, len(plain), 5000):
-            part = plain[a : a + 5000]
-            # words of letters alone are one run of tokens each, the last of which ends a word
-            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            self._put(part, found, np.concatenate([[0], np.flatnonzero(self.ends[found]) + 1]))
-        other = [w for w in stems if not w.isalpha()]
-        for a in range(0, len(other), 2000):
-            part = other[a : a + 2000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            self._put(part, np.array(found.ids, "<u4"), np.searchsorted(np.array(found.word_ids), np.arange(len(part) + 1)))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in ended)
-
-    def _put(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
-        data, cuts = ids.tobytes(), (4 * cuts).tolist()
-        self.known.update((w, data[x:y]) for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        slow = [i for i, t in enumerate(texts) if "<|" in t or self.OTHER.search(t)]
-        odd = set(slow)
-        for i, found in zip(slow, self.tokenizer.encode_batch([texts[i] for i in slow], add_special_tokens=False), strict=True):
-            out[i] = np.array(found.ids, "<u4").tobytes()
-        quick = [i for i in range(len(texts)) if i not in odd]
-        for a, b in chunks([len(texts[i]) for i in quick], 1 << 20):
-            split = [texts[i].lower().split() for i in quick[a:b]]
-            self.needed(set().union(*split))
-            get = self.known.__getitem__
-            for i, words in zip(quick[a:b], split, strict=True):
-                out[i] = b"".join(map(get, words))
-        return out
-
-
 @functools.cache
 def _tokens(path: str, words: int) -> WordTokens:
     """One a Python worker, so that a worker's later tasks find the words of earlier ones."""
@@ -99,12 +29,12 @@ def _tokens(path: str, words: int) -> WordTokens:
     return WordTokens(path, words)
 
 
-def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", closing: int = 0, words: int = 150_000) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", closing: int = 0, words: int = 1_500_000) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, nth): every document's ids and one closing id, cut at `room`.
 
     Null text is empty: the closing id alone. part and nth number the pieces of each length within a partition,
-    as ranks for the packing; the result must be written before it is used twice. A worker keeps the ids of `words`
-    words, and of up to twice as many that came again: more memory for less time, with the same ids.
+    as ranks for the packing; the result must be written before it is used twice. A worker keeps the ids of up to
+    `words` words, some 30 bytes each: more memory for less time, with the same ids.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +63,10 @@ def token_pieces(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "do
     return rows.mapInArrow(lean(cut), _PIECE.format(key=kind))
 
 
+#: (what share of a bin is large, how many groups), as best_plan tries them.
+CHOICES = [(1 / 3, 48), (1 / 3, 24), (1 / 4, 48), (1 / 4, 96)]
+
+
 def _configurations(sizes: list[int], counts: list[int], room: int) -> list[tuple[dict[int, int], int]]:
     """(members by group, times): whole configurations of a near-optimal fractional packing of a few sizes.
 
@@ -178,18 +112,29 @@ def _configurations(sizes: list[int], counts: list[int], room: int) -> list[tupl
 
 
 def best_plan(histogram: dict[int, int], room: int = 2048) -> list[tuple[int, dict[int, int]]]:
-    """The plan with the fewest bins among a few splits into large and small lengths; each costs well under a second."""
-    plans = [plan_bins(histogram, room, large, groups) for large, groups in ((0.5, 24), (0.4, 64), (0.33, 24), (0.25, 48))]
-    return min(plans, key=lambda bins: sum(count for count, _ in bins))
+    """The plan with the fewest bins among a few choices of what is large and how fine the groups are; each costs
+    about a second or less, and the first one that needs no more bins than the tokens fill is taken."""
+    total = sum(n * c for n, c in histogram.items())
+    best, best_count = [], float("inf")
+    for large, groups in CHOICES:
+        plan = plan_bins(histogram, room, large, groups)
+        if (count := sum(c for c, _ in plan)) < best_count:
+            best, best_count = plan, count
+        if best_count <= -(-total // room):
+            break
+    return best
 
 
-def plan_bins(histogram: dict[int, int], room: int = 2048, large: float = 0.25, groups: int = 24) -> list[tuple[int, dict[int, int]]]:
+def plan_bins(histogram: dict[int, int], room: int = 2048, large: float = 1 / 3, groups: int = 48) -> list[tuple[int, dict[int, int]]]:
     """(count, {length: how many}) of bin kinds that pack the histogram's pieces into near-fewest bins of `room`.
 
     Lengths over large * room are split into `groups` groups of equal cardinality and rounded up to their group's
-    greatest; the few sizes' configurations are optimised; real lengths replace the rounded ones, so a bin may
-    gain room; then what is left, in falling length, goes where it fits best. The work and the result depend on
-    the number of distinct lengths, not of pieces: runs of equal bins are handled as one kind with a count.
+    greatest; the few sizes' configurations are optimised. Real lengths then replace the rounded ones: each member but
+    the last by the longest piece left that its size takes, the last one by the longest that the bin still takes,
+    which is longer than its own group's where rounding left room, so most bins become quite full. What is left,
+    small pieces and large ones of configurations of one piece or of fractions, goes in falling length where it fits
+    best. The work and the result depend on the number of distinct lengths, not of pieces: runs of equal bins are
+    handled as one kind with a count.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     bins: list[tuple[int, dict[int, int]]] = []
@@ -207,65 +152,43 @@ def plan_bins(histogram: dict[int, int], room: int = 2048, large: float = 0.25,
         open_by_space[space].append([count, inside])
 
     if total:
-        # groups of equal cardinality, as runs over falling lengths; a length may straddle groups
-        quota = max(1, -(-total // groups))
-        runs: list[list[list[int]]] = [[]]
-        filled = 0
+        # groups of equal cardinality over falling lengths; a length may straddle groups, whose sizes are then equal
+        quota, seen, demand = -(-total // groups), 0, defaultdict(int)
         for n in bigs:
-            c = left.pop(n)
+            c = left[n]
             while c:
-                if filled == quota:
-                    runs.append([])
-                    filled = 0
-                now = min(c, quota - filled)
-                runs[-1].append([n, now])
-                filled, c = filled + now, c - now
-        sizes = [run[0][0] for run in runs]
-        merged: dict[int, list[list[int]]] = {}
-        for size, run in zip(sizes, runs, strict=True):
-            merged.setdefault(size, []).extend(run)
-        sizes = list(merged)
-        pools = [merged[s] for s in sizes]
-        for members, times in _configurations(sizes, [sum(c for _, c in p) for p in pools], room):
-            while times > 0:
-                # as many equal bins as the next real lengths of every member's group allow
-                take = []
-                for g, k in members.items():
-                    need = k
-                    for n, c in pools[g]:
-                        now = min(need, c)
-                        take.append((g, n, now))
-                        need -= now
-                        if not need:
-                            break
-                    if need:
-                        take = []
+                if seen % quota == 0:
+                    size = n
+                now = min(c, quota - seen % quota)
+                demand[size] += now
+                seen, c = seen + now, c - now
+        sizes, stock = list(demand), bigs[::-1]  # stock ascends
+
+        def longest(most: int, use: dict[int, int]) -> int | None:
+            """The longest large piece of at most `most` that is left beside those in use."""
+            for i in range(bisect_right(stock, most) - 1, -1, -1):
+                if left[stock[i]] > use.get(stock[i], 0):
+                    return stock[i]
+            return None
+
+        for members, times in _configurations(sizes, [demand[s] for s in sizes], room):
+            wanted = [sizes[g] for g in sorted(members) for _ in range(members[g])]
+            while times > 0 and len(wanted) > 1:
+                use: dict[int, int] = {}
+                for i, size in enumerate(wanted):
+                    n = longest(size if i < len(wanted) - 1 else room - sum(m * k for m, k in use.items()), use)
+                    if n is None:
                         break
-                if not take:
+                    use[n] = use.get(n, 0) + 1
+                if sum(use.values()) < len(wanted):
                     break
-                stock = defaultdict(int)
-                use = defaultdict(int)
-                for g, n, now in take:
-                    use[g, n] += now
-                for g in members:
-                    for n, c in pools[g]:
-                        stock[g, n] += c
-                run = max(1, min(times, min(stock[x] // k for x, k in use.items())))
-                inside: dict[int, int] = defaultdict(int)
-                for (g, n), k in use.items():
-                    inside[n] += k
-                    gone = k * run
-                    for entry in pools[g]:
-                        if entry[0] == n and gone:
-                            now = min(gone, entry[1])
-                            entry[1] -= now
-                            gone -= now
-                    pools[g][:] = [e for e in pools[g] if e[1]]
-                put(run, dict(inside))
+                run = min(times, min(left[n] // k for n, k in use.items()))
+                put(run, use)
                 times -= run
-        for pool in pools:
-            for n, c in pool:
-                left[n] = left.get(n, 0) + c
+                for n, k in use.items():
+                    left[n] -= run * k
+                    if not left[n]:
+                        stock.remove(n)
     for n in sorted(left, reverse=True):
         c = left[n]
         while c:
@@ -333,7 +256,7 @@ def pack(pieces: DataFrame, room: int = 2048) -> DataFrame:
     return placed.select("key", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), (F.col("at") + step % F.col("per") * F.col("length")).alias("offset"))
 
 
-def pack_documents(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", words: int = 150_000) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, room: int = 2048, key: str = "doc_id", text: str = "text", words: int = 1_500_000) -> DataFrame:
     """Tokenises, cuts and packs every row of df; see token_pieces and pack.
 
     Null text: one piece of the closing id. Null keys and repeated rows are rows of their own. No rows give none.

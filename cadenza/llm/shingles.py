@@ -28,14 +28,15 @@ def _masks() -> np.ndarray:
     return np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def _word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range. Every step is a bijection of the hash so far and the next eight bytes, so
     no structure of the bytes cancels out, as it does in polynomials modulo 2^64. padded has eight spare bytes."""
     import xxhash
 
     lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
     left = ends - starts
-    out = splitmix(left.astype(np.uint64) * _BASE + np.uint64(_SEED))
+    with np.errstate(over="ignore"):
+        out = splitmix(left.astype(np.uint64) * _BASE + np.uint64(_SEED))
     out = splitmix(out ^ (lanes[starts] & _masks()[np.minimum(left, 8)]))
     for at in range(8, _LONG, 8):
         more = np.flatnonzero((left > at) & (left <= _LONG))
@@ -48,9 +49,9 @@ def _word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 
 class Words:
-    """The words of some texts: `hashes` in order, and `first[i]:first[i + 1]` are those of text i."""
+    """The words of some texts: `hashes` in order unless not hashed, and `first[i]:first[i + 1]` are those of text i."""
 
-    def __init__(self, texts: list[bytes], is_word: np.ndarray, fold: np.ndarray):
+    def __init__(self, texts: list[bytes], is_word: np.ndarray, fold: np.ndarray, hashed: bool = True):
         """is_word, fold: tables over byte values; a word is a maximal run of is_word bytes, folded before hashing."""
         padded = fold[np.frombuffer(b" ".join([*texts, b""]) + bytes(8), np.uint8)]
         data = padded[:-8]
@@ -60,8 +61,9 @@ class Words:
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         self.data, self.text_starts = data, np.concatenate([[0], ends])
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        with np.errstate(over="ignore"):
-            self.hashes = _word_hashes(padded, self.starts, self.ends)
+        self.padded = padded
+        if hashed:
+            self.hashes = word_hashes(padded, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.text_starts)
 
     def counts(self) -> np.ndarray:
