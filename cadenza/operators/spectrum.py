@@ -41,6 +41,53 @@ def camelot_number(name: Column) -> Column:
     return F.when(value.between(1, 12), F.pmod(value - 8, F.lit(12)) * 2 + F.when(letter == "A", 1).otherwise(0))
 
 
+# The names of the pitch classes.
+NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+
+
+def key_name(tonic: Column, minor: Column) -> Column:
+    return F.concat(F.get(F.array(*map(F.lit, NAMES)), tonic % 12), F.when(minor, " minor").otherwise(" major"))
+
+
+def relative_tonic(tonic: Column, minor: Column) -> Column:
+    """The tonic of the key of the other mode with the same notes."""
+    return F.pmod(tonic + F.when(minor, 3).otherwise(9), F.lit(12))
+
+
+def relative_camelot(name: Column) -> Column:
+    """A key and its relative share their number on the wheel."""
+    return F.concat(F.regexp_extract(name, "^([0-9]+)", 1), F.when(F.right(name, F.lit(1)) == "A", "B").otherwise("A"))
+
+
+def margin(best: Column, second: Column) -> Column:
+    """How far the best correlation is above the second, as a share of its size; 0 if it is 0."""
+    return F.when(F.abs(best) > 0, (best - second) / F.abs(best)).otherwise(0.0)
+
+
+def ranked_keys(chroma: Column, profile: str = "temperley") -> Column:
+    """The 24 keys as an array of struct<key:struct<tonic,mode>, camelot, name, correlation> by falling correlation of
+    their profiles with 12 pitch-class shares, majors before minors and by tonic on ties; flat shares correlate with 0.
+
+    All keys are literals in one expression: nothing is joined or shuffled.
+    """
+    keys = []
+    for m, weights in enumerate(PROFILES[profile]):
+        centre = sum(weights) / 12
+        size = sum((w - centre) ** 2 for w in weights) ** 0.5
+        for t in range(12):
+            number = ((t + 3 * m) % 12 * 7 + 7) % 12 + 1
+            turned = ", ".join(f"{(weights[(p - t) % 12] - centre) / size!r}D" for p in range(12))
+            keys.append(f"struct({12 * m + t} as place, struct({t} as tonic, '{'minor' if m else 'major'}' as mode) as key, '{number}{'BA'[m]}' as camelot, '{NAMES[t]} {'minor' if m else 'major'}' as name, array({turned}) as w)")
+    # centred shares once, then one product a key; weights are centred and scaled already
+    centred = F.transform(F.array(chroma), lambda c: F.transform(c, lambda x: x - F.aggregate(c, F.lit(0.0), lambda s, y: s + y) / 12))
+    ranked = F.transform(centred, lambda c: F.transform(
+        F.expr(f"array({', '.join(keys)})"),
+        lambda k: F.struct(k.alias("k"), F.when(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) > 0, F.aggregate(F.zip_with(c, k["w"], lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))).otherwise(0.0).alias("r")),
+    ))
+    ordered = F.array_sort(F.transform(F.get(ranked, F.lit(0)), lambda x: F.struct((-x["r"]).alias("rank"), x["k"]["place"].alias("place"), x["k"].alias("k"), x["r"].alias("r"))))
+    return F.transform(ordered, lambda x: F.struct(x["k"]["key"].alias("key"), x["k"]["camelot"].alias("camelot"), x["k"]["name"].alias("name"), x["r"].alias("correlation")))
+
+
 def rank_keys(chroma: DataFrame, by: list[str], profile: str = "temperley") -> DataFrame:
     """(by..., tonic, minor, correlation, rank) from rows (by..., pitch, x): Pearson against 24 rotated profiles, 0 if flat."""
     spark = chroma.sparkSession
@@ -55,12 +102,14 @@ def rank_keys(chroma: DataFrame, by: list[str], profile: str = "temperley") -> D
 
 
 def summary(bins: DataFrame, by: list[str], hz: str = "hz", power: str = "p") -> DataFrame:
-    """(by..., peak_hz, centroid_hz, rolloff_95_hz, high_cutoff_hz): from rows of frequency and power."""
+    """(by..., peak_hz, centroid_hz, rolloff_95_hz, high_cutoff_hz): from rows of frequency and power. The peak is the
+    last of the strongest from 20 Hz up, the cutoff the last one within 40 dB of the strongest."""
     w = W.partitionBy(*by)
     running = F.sum(power).over(w.orderBy(hz).rowsBetween(W.unboundedPreceding, 0))
     marked = bins.withColumn("run", running).withColumn("all_", F.sum(power).over(w)).withColumn("top", F.max(power).over(w))
+    audible = F.max(F.when(F.col(hz) >= 20, F.struct(F.col(power).alias("p"), F.col(hz).alias("hz"))))
     return marked.groupBy(*by).agg(
-        F.min(F.when(F.col(power) == F.col("top"), F.col(hz))).alias("peak_hz"),
+        F.coalesce(audible["hz"], F.lit(0.0)).alias("peak_hz"),
         (F.sum(F.col(hz) * F.col(power)) / F.sum(power)).alias("centroid_hz"),
         F.min(F.when(F.col("run") >= 0.95 * F.col("all_"), F.col(hz))).alias("rolloff_95_hz"),
         F.max(F.when(F.col(power) >= F.col("top") * 1e-4, F.col(hz))).alias("high_cutoff_hz"),  # 40 dB below the top
