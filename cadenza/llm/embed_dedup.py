@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, picked, stash
 
 _TILE = 4096
+#: Rows of a tile that are multiplied with another tile at once.
+_STRIP = 512
 
 
 def _usable(kind: str):
@@ -19,13 +22,14 @@ def _usable(kind: str):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("vector").to_pylist():
-                x = None
-                if v is not None and len(v) and None not in v:
-                    x = np.array(v, kind) + np.array(0, kind)  # -0.0 becomes 0.0, so equal vectors have equal bytes
-                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
-                out.append(x)
+            column = batch.column("vector")
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(kind) + np.array(0, kind)  # nulls become nan; -0.0 becomes 0.0, so equal vectors have equal bytes
+            ends = np.cumsum(sizes)
+            wrong, some = (np.concatenate([[0], np.cumsum(test)]) for test in (~np.isfinite(x), x != 0))
+            good = (wrong[ends] == wrong[ends - sizes]) & (some[ends] > some[ends - sizes])
+            data, width = x.tobytes(), x.itemsize
+            out = [data[(e - n) * width : e * width] if ok else None for e, n, ok in zip(ends.tolist(), sizes.tolist(), good.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("vec"), pa.array(out, pa.binary())], names=["vec", "bytes"])
 
     return rows
@@ -45,8 +49,9 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error * (1 + 1e-9) + 1e-12
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of unit vectors a[i], b[j] with cosine >= least; b None: pairs i < j within a.
+def tile_links(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of unit vectors a[i], b[j] with cosine >= least, a strip of a's rows at a time; b None: pairs
+    i < j within a.
 
     The product of the int8 codes is exact in float32 (64 * 127 * 127 < 2 ** 24; longer vectors go in slices).
     With x = x' + e, |x.y - x'.y'| <= |e_x| + (1 + |e_x|) |e_y| for unit x, y, so a pair whose scaled product is
@@ -55,41 +60,46 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.nd
     qa, sa, ea = quantised(a)
     qb, sb, eb = (qa, sa, ea) if b is None else quantised(b)
     other = a if b is None else b
-    product = np.zeros((len(qa), len(qb)), np.float64 if qa.shape[1] > 1024 else np.float32)
-    for d in range(0, qa.shape[1], 1024):
-        product += qa[:, d : d + 1024].astype(np.float32) @ qb[:, d : d + 1024].astype(np.float32).T
+    slices = [slice(d, d + 1024) for d in range(0, qa.shape[1], 1024)]
+    right = [qb[:, d].astype(np.float32).T for d in slices]
     # per row and column: least - bound <= scale_a * scale_b * product, a little wider for float32 rounding
     slack = ea.max() + (1 + ea.max()) * eb.max() + 1e-5
-    product *= (sa[:, None]).astype(np.float32)
-    product *= (sb[None, :]).astype(np.float32)
-    i, j = np.nonzero(product >= np.float32(least - slack))
-    close = product[i, j] >= least - (ea[i] + (1 + ea[i]) * eb[j]) - 1e-5
-    i, j = i[close], j[close]
-    if b is None:
-        i, j = i[i < j], j[i < j]
-    keep = np.empty(len(i), bool)
-    for s in range(0, len(i), 1 << 18):
-        part = slice(s, s + (1 << 18))
-        keep[part] = np.einsum("ij,ij->i", a[i[part]], other[j[part]]) >= least
-    return i[keep], j[keep]
-
-
-def _forest(nodes_a: np.ndarray, nodes_b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs, so a tile sends no more pairs than it has vectors."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    out = []
-    for x, y in zip(nodes_a.tolist(), nodes_b.tolist(), strict=True):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+    for at in range(0, len(qa), _STRIP):
+        rows = slice(at, at + _STRIP)
+        product = np.zeros((len(qa[rows]), len(qb)), np.float64 if len(slices) > 1 else np.float32)
+        for d, part in zip(slices, right, strict=True):
+            product += qa[rows, d].astype(np.float32) @ part
+        product *= (sa[rows, None]).astype(np.float32)
+        product *= (sb[None, :]).astype(np.float32)
+        i, j = np.nonzero(product >= np.float32(least - slack))
+        close = product[i, j] >= least - (ea[rows][i] + (1 + ea[rows][i]) * eb[j]) - 1e-5
+        i, j = i[close] + at, j[close]
+        if b is None:
+            i, j = i[i < j], j[i < j]
+        keep = np.empty(len(i), bool)
+        for s in range(0, len(i), 1 << 18):
+            part = slice(s, s + (1 << 18))
+            keep[part] = np.einsum("ij,ij->i", a[i[part]], other[j[part]]) >= least
+        yield i[keep], j[keep]
+
+
+def _hooked(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label, in which each index points to its component's smallest one, with the pairs (x, y) joined."""
+    while True:
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        if not apart.any():
+            return label
+        x, y, lx, ly = x[apart], y[apart], lx[apart], ly[apart]
+        np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _tile(column: pa.Array, i: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, unit vectors) of a tile's rows."""
+    found = column[i].values
+    return found.field("node").to_numpy(), found.field("size").to_numpy(), _unit(found.field("bytes").to_pylist(), kind)
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, tile: int = _TILE) -> DataFrame:
@@ -98,8 +108,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     Two vectors link when their cosine in double precision is at least `least`. Equal vectors are one class that is
     compared once and weighs its rows. Classes are dealt into tiles, and every pair of tiles is one task's matrix
     product on int8 codes (see tile_links): exact, and quadratic in the number of different vectors by nature. A
-    tile pair returns link counts per vector and a spanning forest of its links, never the links, so a dense group
-    costs no more rows than any other.
+    tile pair goes through its links a strip at a time and returns one row a linked vector, with the number of its
+    links and the first vector it reaches there, never the links: a dense group costs no more rows or memory than any
+    other, and time for its products and links.
 
     A row whose vector is null, empty, zero or holds null or non-finite components links with nothing and is its
     own component. Vectors of different length never link. Null keys count as rows but are the smallest of a
@@ -120,19 +131,20 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "a", "b")), strict=True):
-                nodes_a, nodes_b = (np.array([r["node"] for r in t]) for t in (xs, ys))
-                sizes_a, sizes_b = (np.array([r["size"] for r in t]) for t in (xs, ys))
-                a = _unit([r["bytes"] for r in xs], kind)
-                p, q = tile_links(a, None if i == j else _unit([r["bytes"] for r in ys], kind), least)
-                links: dict[int, int] = {}
-                for nodes, at, weights in ((nodes_a, p, sizes_b[q]), (nodes_b, q, sizes_a[p])):
-                    total = np.bincount(at, weights, len(nodes))
-                    for k in np.flatnonzero(total).tolist():
-                        links[int(nodes[k])] = links.get(int(nodes[k]), 0) + int(total[k])
-                forest = _forest(nodes_a[p], nodes_b[q])
-                columns = [[*links, *(x for x, _ in forest)], [*links.values(), *[None] * len(forest)], [*[None] * len(links), *(y for _, y in forest)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "links", "to"])
+            for row in range(batch.num_rows):
+                nodes, weights, a = _tile(batch.column("a"), row, kind)
+                own, b = batch.column("i")[row].as_py() == batch.column("j")[row].as_py(), None
+                at = 0  # where the other tile's nodes stand among all
+                if not own:
+                    other, other_weights, b = _tile(batch.column("b"), row, kind)
+                    at, nodes, weights = len(nodes), np.concatenate([nodes, other]), np.concatenate([weights, other_weights])
+                total, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+                for p, q in tile_links(a, b, least):
+                    q = q + at
+                    total += np.bincount(p, weights[q], len(nodes)).astype(np.int64) + np.bincount(q, weights[p], len(nodes)).astype(np.int64)
+                    label = _hooked(label, p, q)
+                linked = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(total[linked]), pa.array(nodes[label[linked]])], names=["node", "links", "to"])
 
     found = stash(pairs.select("i", "j", "a", "b").mapInArrow(compared, "node long, links long, to long"))
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))

@@ -1,8 +1,7 @@
-"""A FLAC codec in numpy that works on many frames in step, and the media operators on it."""
+"""A FLAC encoder in numpy that works on many frames in step, and media columns of it and of the decoder."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -10,64 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, chunks, lean, picked
+from cadenza.sources import flac as codec
+from cadenza.sources.flac import FlacError
+from cadenza.sources.flac import crc8 as _crc8
+from cadenza.sources.flac import crc16 as _crc16
+
+from .common import as_bytes, chunks, lean, picked, stash
 
 BLOCK = 1024
 _ORDER, _PRECISION, _SHIFT = 4, 12, 10
 _CHUNK = 1 << 20
-_FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))  # the format's fixed predictors
-
-
-class FlacError(ValueError):
-    """A stream that breaks the format or fails a checksum."""
-
-
-@functools.cache
-def _crc_table(bits: int, poly: int) -> np.ndarray:
-    top, mask = 1 << (bits - 1), (1 << bits) - 1
-    out = []
-    for x in range(256):
-        x <<= bits - 8
-        for _ in range(8):
-            x = (x << 1 ^ (poly if x & top else 0)) & mask
-        out.append(x)
-    return np.array(out, np.uint32)
-
-
-def _crc8(data: bytes) -> int:
-    table, crc = _crc8_list(), 0
-    for x in data:
-        crc = table[crc ^ x]
-    return crc
-
-
-@functools.cache
-def _crc8_list() -> list[int]:
-    return _crc_table(8, 0x07).tolist()
-
-
-@functools.cache
-def _crc16_steps(size: int) -> np.ndarray:
-    """Row d: what each byte value adds to the checksum if d bytes follow it (the checksum is linear)."""
-    table = _crc_table(16, 0x8005)
-    out = np.empty((size, 256), np.uint16)
-    row = table
-    for d in range(size):
-        out[d] = row
-        row = (row << 8 ^ table[row >> 8]) & 0xFFFF
-    return out
-
-
-def _crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The checksums of the byte ranges of data; all are nonempty and ascending."""
-    lengths = ends - starts
-    steps = _crc16_steps(1 << int(max(2048, lengths.max()) - 1).bit_length())
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    within = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    at = within + np.repeat(starts, lengths)
-    return np.bitwise_xor.reduceat(steps[np.repeat(lengths, lengths) - 1 - within, data[at]], first)
+#: Frames that are encoded at once.
+_FRAMES = 1024
 
 
 def _coded_number(n: int) -> bytes:
@@ -103,13 +59,37 @@ def _placed(at: np.ndarray, value: np.ndarray, width: np.ndarray, size: int) ->
 
 
 def encode(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
-    """A complete FLAC stream (8 bits, mono, blocks of 1024, a seek point a frame) of each nonempty payload."""
+    """A complete FLAC stream (8 bits, mono, blocks of 1024, a seek point a frame) of each nonempty payload.
+
+    Frames are encoded _FRAMES at once, so a very long payload takes no more memory than its bytes and those.
+    """
     lengths = [len(p) for p in payloads]
     per = [-(-n // BLOCK) for n in lengths]
     sizes = np.concatenate([[BLOCK] * (k - 1) + [n - BLOCK * (k - 1)] for n, k in zip(lengths, per, strict=True)]).astype(np.int64)
-    count = len(sizes)
     raw = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8)
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    numbers = np.arange(len(sizes)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
+    parts = [_frames(raw[starts[i] : starts[min(len(sizes), i + _FRAMES)]], sizes[i : i + _FRAMES], numbers[i : i + _FRAMES]) for i in range(0, len(sizes), _FRAMES)]
+    data, frame_bytes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    frame_at = np.concatenate([[0], np.cumsum(frame_bytes)])
+    out, i = [], 0
+    for n, frames in zip(lengths, per, strict=True):
+        own = slice(i, i + frames)
+        info = min(BLOCK, n).to_bytes(2, "big") * 2 + int(frame_bytes[own].min()).to_bytes(3, "big") + int(frame_bytes[own].max()).to_bytes(3, "big")
+        info += (rate << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(raw[starts[i] : starts[i + frames]].tobytes()).digest()
+        points = np.zeros(frames, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
+        points["sample"], points["offset"], points["size"] = np.arange(frames) * BLOCK, frame_at[own] - frame_at[i], sizes[own]
+        # a table's length has 24 bits: streams of more frames than fit have a point every few frames
+        every = -(-frames // 900_000)
+        table = points[::every].tobytes()
+        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + data[frame_at[i] : frame_at[i + frames]].tobytes())
+        i += frames
+    return out
+
+
+def _frames(raw: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all frames in a row, bytes of each) of consecutive blocks of the samples `raw`."""
+    count = len(sizes)
     mask = np.arange(BLOCK)[None, :] < sizes[:, None]
     x = np.zeros((count, BLOCK), np.int32)
     x[mask] = raw
@@ -140,13 +120,11 @@ def encode(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
     k = np.clip(np.floor(np.log2(np.maximum(sums / np.maximum(held, 1) * 0.69, 1))), 0, 14).astype(np.int32)
     k_each = np.repeat(k, quarter, axis=1)
     bits = ((u >> k_each) + 1 + k_each) * coded
-    heads, head_bits, number = [], np.empty(count, np.int64), 0
+    heads, head_bits = [], np.empty(count, np.int64)
     param_at = np.zeros((count, 4), np.int64)  # bits of Rice parameters before each partition's codes
-    first_of = np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per)
     for i in range(count):
         size, o = int(sizes[i]), int(order[i])
-        number = i - int(first_of[i])
-        head = bytes([0xFF, 0xF8, (0xA4 if size == BLOCK else 0x74), 0x02]) + _coded_number(number)
+        head = bytes([0xFF, 0xF8, (0xA4 if size == BLOCK else 0x74), 0x02]) + _coded_number(int(numbers[i]))
         head += b"" if size == BLOCK else (size - 1).to_bytes(2, "big")
         head += bytes([_crc8(head)])
         value, n = (0x20 | o - 1 if kind[i] == 3 else 0x08 | o) << 1, 8
@@ -182,252 +160,20 @@ def encode(payloads: list[bytes], rate: int = 8000) -> list[bytes]:
             data[a + full] |= own[full]
     crc = _crc16(data, frame_at[:-1], frame_at[1:] - 2)
     data[frame_at[1:] - 2], data[frame_at[1:] - 1] = crc >> 8, crc & 0xFF
-    out, i = [], 0
-    for n, frames in zip(lengths, per, strict=True):
-        own = slice(i, i + frames)
-        info = min(BLOCK, n).to_bytes(2, "big") * 2 + int(frame_bytes[own].min()).to_bytes(3, "big") + int(frame_bytes[own].max()).to_bytes(3, "big")
-        info += (rate << 44 | 0 << 41 | 7 << 36 | n).to_bytes(8, "big") + hashlib.md5(raw[starts[i] : starts[i + frames]].tobytes()).digest()
-        points = np.zeros(frames, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
-        points["sample"], points["offset"], points["size"] = np.arange(frames) * BLOCK, frame_at[own] - frame_at[i], sizes[own]
-        table = points.tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + data[frame_at[i] : frame_at[i + frames]].tobytes())
-        i += frames
-    return out
-
-
-def _header(data: bytes, at: int, stream_block: int) -> tuple[int, int, int] | None:
-    """(samples, number, bytes) of the frame header at `at`, or None if none stands there."""
-    if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] not in (0xF8, 0xF9):
-        return None
-    code, rate, lead = data[at + 2] >> 4, data[at + 2] & 15, data[at + 4]
-    extra = 0 if lead < 0x80 else next((i + 1 for i in range(5) if not lead << (i + 2) & 0x80), 6)
-    number = lead if lead < 0x80 else lead & ((1 << (6 - extra)) - 1)
-    p = at + 5
-    for _ in range(extra):
-        number, p = number << 6 | data[p] & 0x3F, p + 1
-    if code in (6, 7):
-        size, p = int.from_bytes(data[p : p + code - 5], "big") + 1, p + code - 5
-    else:
-        size = {0: 0, 1: 192}.get(code) if code < 2 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
-    p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-    if not size or p >= len(data) or _crc8(data[at:p]) != data[p]:
-        return None
-    return size, number, p + 1 - at
-
-
-def _frame_starts(data: bytes, at: int, points: list[tuple[int, int, int]], total: int, block: int) -> list[int]:
-    """Where the stream's frames begin: by the seek table if it has them all, else by sync codes and both checksums."""
-    known = [at + p[1] for p in points if p[0] != 2**64 - 1]
-    if known and sum(p[2] for p in points if p[0] != 2**64 - 1) == total:
-        return known
-    starts, view = [at], np.frombuffer(data, np.uint8)
-    while starts[-1] < len(data):
-        nxt = starts[-1]
-        while True:
-            nxt = data.find(b"\xff", nxt + 1)
-            if nxt < 0:
-                return starts
-            if _header(data, nxt, block) and nxt - starts[-1] > 8:
-                a, b = starts[-1], nxt
-                if int(_crc16(view, np.array([a]), np.array([b - 2]))[0]) == int.from_bytes(data[b - 2 : b], "big"):
-                    break
-        starts.append(nxt)
-    return starts
+    return data, frame_bytes
 
 
 def decode(streams: list[bytes]) -> list[tuple[list[int], list[np.ndarray]]]:
     """(first sample of each block, PCM of each block) of mono streams of up to 16 bits; raises FlacError on damage
-    and on other streams.
-
-    All frames of all streams advance in step, one sample at a time: a 64-bit window at each frame's bit position
-    gives the unary part by its leading zeros and the Rice remainder behind it, and the linear predictor adds to
-    it from the samples before. Frame header CRC-8, frame CRC-16 and the stream's MD5 are verified.
-    """
-    joined = b"".join(streams) + b"\0" * 16
-    buf = np.frombuffer(joined, np.uint8)
-    frames, per, infos, base = [], [], [], 0
-    for data in streams:
-        if data[:4] != b"fLaC":
-            raise FlacError("no stream marker")
-        at, last, info, points = 4, False, None, []
-        while not last:
-            last, kind, n = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
-            own = data[at + 4 : at + 4 + n]
-            if kind == 0:
-                packed = int.from_bytes(own[10:18], "big")
-                info = (int.from_bytes(own[:2], "big"), (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, own[18:34])
-            elif kind == 3:
-                points = [(int.from_bytes(own[i : i + 8], "big"), int.from_bytes(own[i + 8 : i + 16], "big"), int.from_bytes(own[i + 16 : i + 18], "big")) for i in range(0, n, 18)]
-            at += 4 + n
-        if info is None or info[1] != 1 or info[2] > 16:
+    and on other streams."""
+    out = []
+    for info, offsets, blocks in codec.decode(streams):
+        if info.channels != 1 or info.bits > 16:
             raise FlacError("not a mono stream of up to 16 bits")
-        starts = _frame_starts(data, at, points, info[3], info[0])
-        done = 0
-        for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
-            head = _header(data, a, info[0])
-            if head is None:
-                raise FlacError("bad frame header or CRC-8")
-            frames.append((base + a, base + b, head[0], base + a + head[2], done, info[2]))
-            done += head[0]
-        if done != info[3]:
-            raise FlacError("samples are missing")
-        infos.append(info)
-        per.append(len(starts))
-        base += len(data)
-    if not frames:
-        return []
-    begin, end, size, body, offset, depth = (np.array(x, np.int64) for x in zip(*frames, strict=True))
-    if (_crc16(buf, begin, end - 2) != (buf[end - 2].astype(np.uint16) << 8 | buf[end - 1])).any():
-        raise FlacError("bad frame CRC-16")
-    rank = np.argsort(-size, kind="stable")
-    begin, size, body, depth = begin[rank], size[rank], body[rank], depth[rank]
-    count, longest = len(size), int(size[0])
-    pcm = np.zeros((longest, count), np.int64)
-    order, shift, porder, wide, rice, wasted = (np.zeros(count, np.int64) for _ in range(6))
-    coefs = np.zeros((32, count), np.int64)
-    p = body * 8
-    live = np.ones(count, bool)
-    for i in range(count):
-        bits = int(depth[i])
-        at = int(body[i])
-        value = int.from_bytes(joined[at : at + 160], "big")
-        left = len(joined[at : at + 160]) * 8
-
-        def take(n: int) -> int:
-            nonlocal left
-            left -= n
-            return value >> left & (1 << n) - 1
-
-        whole = left
-        kind = take(8)
-        if kind & 1:  # the samples' low bits that are all 0, counted in unary, aren't in the subframe
-            wasted[i] = 1
-            while wasted[i] < bits and not take(1):
-                wasted[i] += 1
-            bits -= int(wasted[i])
-            if bits < 1:
-                raise FlacError("no bits are left of the samples")
-        kind >>= 1
-        signed = lambda v, n: v - (1 << n) if v >> (n - 1) else v
-        if kind == 0:
-            pcm[: size[i], i], live[i] = signed(take(bits), bits), False
-            continue
-        if kind == 1:
-            start = at * 8 + whole - left
-            end = start + int(size[i]) * bits
-            raw = int.from_bytes(joined[start >> 3 : (end + 7) >> 3], "big") >> (-end % 8)
-            pcm[: size[i], i] = [signed(raw >> bits * j & (1 << bits) - 1, bits) for j in range(int(size[i]) - 1, -1, -1)]
-            live[i] = False
-            continue
-        if kind >= 32:
-            o = kind - 31
-        elif 8 <= kind <= 12:
-            o = kind - 8
-        else:
-            raise FlacError("reserved subframe")
-        order[i] = o
-        for j in range(o):
-            pcm[j, i] = signed(take(bits), bits)
-        if kind >= 32:
-            precision = take(4) + 1
-            shift[i] = take(5)
-            for j in range(o):
-                coefs[j, i] = signed(take(precision), precision)
-        else:
-            coefs[:o, i] = _FIXED[o]
-        wide[i] = 4 + take(2)
-        porder[i] = take(4)
-        p[i] += whole - left
-    part = size >> porder
-    following = order.copy()
-    window = np.zeros(len(buf) - 8, np.uint64)
-    for j in range(8):
-        window |= buf[j : j + len(window)].astype(np.uint64) << np.uint64(56 - 8 * j)
-    depths = int(order.max())
-    actives = np.searchsorted(-size, -np.arange(longest), side="left")  # frames with more than j samples come first
-    escaped = np.zeros(count, np.int64) - 1
-    settled = bool(live.all())
-    one, low = np.uint64(1), np.uint64(63)
-    for j in range(longest):
-        m = int(actives[j])
-        turn = np.flatnonzero((following[:m] == j) & live[:m])
-        if len(turn):
-            width = wide[turn]
-            peek = window[p[turn] >> 3] << (p[turn] & 7).astype(np.uint64)
-            got = (peek >> (64 - width).astype(np.uint64)).astype(np.int64)
-            p[turn] += width
-            rice[turn] = got
-            raw = got == (1 << width) - 1
-            escaped[turn] = -1
-            if raw.any():
-                which = turn[raw]
-                peek = window[p[which] >> 3] << (p[which] & 7).astype(np.uint64)
-                escaped[which] = (peek >> np.uint64(59)).astype(np.int64)
-                p[which] += 5
-                rice[which] = 0
-            following[turn] = (j // part[turn] + 1) * part[turn]
-        if j < depths or not settled or (escaped[:m] >= 0).any():
-            on = np.flatnonzero(live[:m] & (order[:m] <= j))
-            sel = on
-            if not len(on):
-                continue
-        else:
-            sel = slice(0, m)
-        q_at = p[sel]
-        k = rice[sel]
-        peek = window[q_at >> 3] << (q_at & 7).astype(np.uint64)
-        zeros = 53 - np.frexp((peek >> np.uint64(11)).astype(np.float64))[1].astype(np.int64)
-        if int(zeros.max()) + max(2, int(k.max())) > 54:  # 53: no end of the unary part in the window
-            zeros, rest = _long_codes(window, q_at, k, zeros, peek)
-        else:
-            rest = ((peek << (zeros + 1).astype(np.uint64)) >> one) >> (low - k.astype(np.uint64))
-        u = zeros << k | rest.astype(np.int64)
-        used = zeros + 1 + k
-        residual = (u >> 1) ^ -(u & 1)
-        if (esc := escaped[sel] >= 0).any():
-            for t in np.flatnonzero(esc).tolist():
-                n, at = int(escaped[sel][t]), int(q_at[t])
-                v = int.from_bytes(joined[at >> 3 : (at >> 3) + 8], "big") >> (64 - n - (at & 7)) & (1 << n) - 1 if n else 0
-                residual[t], used[t] = v - (1 << n) if n and v >> (n - 1) else v, n
-        p[sel] = q_at + used
-        total = np.zeros(len(residual), np.int64)
-        for i in range(min(j, depths)):
-            total += coefs[i, sel] * pcm[j - 1 - i, sel]
-        pcm[j, sel] = residual + (total >> shift[sel])
-    if wasted.any():
-        pcm <<= wasted
-    back = np.empty(count, np.int64)
-    back[rank] = np.arange(count)
-    out, i = [], 0
-    for info, frames_of in zip(infos, per, strict=True):
-        columns = back[i : i + frames_of].tolist()
-        kind = np.int8 if info[2] <= 8 else np.dtype("<i2")
-        blocks = [pcm[: size[c], c].astype(kind) for c in columns]
-        if info[4] != bytes(16) and hashlib.md5(b"".join(x.tobytes() for x in blocks)).digest() != info[4]:
-            raise FlacError("bad MD5 of the samples")
-        out.append((offset[i : i + frames_of].tolist(), blocks))
-        i += frames_of
+        out.append((offsets, [x[0].astype(np.int8 if info.bits <= 8 else np.dtype("<i2")) for x in blocks]))
     return out
 
 
-def _long_codes(window, at, k, zeros, peek):
-    """Unary parts and remainders where a code may be longer than one window."""
-    zeros, start = zeros.copy(), at.copy()
-    for t in np.flatnonzero(peek >> np.uint64(11) == 0).tolist():
-        n, place = 0, int(at[t])
-        while True:
-            w = int(window[place >> 3]) << (place & 7) & (2**64 - 1)
-            w >>= 16
-            if w:
-                n += 48 - w.bit_length()
-                break
-            n, place = n + 48, place + 48
-        zeros[t] = n
-    after = start + zeros + 1
-    again = window[after >> 3] << (after & 7).astype(np.uint64)
-    return zeros, (again >> np.uint64(1)) >> (np.uint64(63) - k.astype(np.uint64))
-
-
 def payload_of(text: bytes) -> bytes:
     """text with zero bytes up to a positive multiple of 64."""
     return text + bytes(-len(text) % 64 if text else 64)
@@ -465,37 +211,61 @@ def decode_flac(df: DataFrame, media: str = "media") -> DataFrame:
             for a, b in chunks([len(x.as_buffer() or b"") if x.is_valid else 0 for x in column], _CHUNK):
                 streams = column.slice(a, b - a).to_pylist()
                 found = iter(decode([s for s in streams if s is not None]))
-                rows = []
+                ends, offsets, sizes, raw = [0], [], [], []
                 for s in streams:
-                    offsets, blocks = next(found) if s is not None else ([], [])
-                    rows.append([{"sample_offset": o, "samples": len(x), "pcm": x.tobytes()} for o, x in zip(offsets, blocks, strict=True)])
+                    own, blocks = next(found) if s is not None else ([], [])
+                    offsets += own
+                    sizes += [len(x) for x in blocks]
+                    raw += [x.tobytes() for x in blocks]
+                    ends.append(len(offsets))
+                rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(offsets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], fields=list(block)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(block))], names=[*part.schema.names, "blocks"])
+                yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*part.schema.names, "blocks"])
 
     schema = T.StructType(list(df.schema.fields)).add("blocks", T.ArrayType(T.StructType().add("sample_offset", "long").add("samples", T.IntegerType()).add("pcm", "binary")))
     return df.mapInArrow(lean(decoded), schema)
 
 
+def pcm_blocks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, media_bytes, media_sha256, blocks) of every row of df, written: each text's stream of
+    encode_flac, decoded again, as PCM blocks that are seekable by sample_offset.
+
+    Null text is empty: 64 zero samples. Every row gives one row, repeated ones and null keys too; no rows give none.
+    """
+    stored = decode_flac(encode_flac(df, key, text))
+    return stash(stored.select("key", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "blocks"))
+
+
 def media_digests(df: DataFrame) -> DataFrame:
-    """The digests of encode_flac's rows: what decode() reads back from the stored bytes, and what it sounds like."""
+    """The digests of pcm_blocks' rows: what their stored blocks hold, in the order of their offsets, and what it sounds
+    like. Blocks are read one after the other: besides a row's blocks only one is in memory."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams, rows = batch.column("media").to_pylist(), []
-            for a, b in chunks([len(s) for s in streams], _CHUNK):
-                for media, (_, blocks) in zip(streams[a:b], decode(streams[a:b]), strict=True):
-                    samples = np.concatenate(blocks)
+            rows = []
+            for blocks in batch.column("blocks"):
+                found = blocks.values
+                offsets, own = found.field("sample_offset").to_numpy(), found.field("pcm")
+                sha, tail, total, peak, level, power, crossings, last, at = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None, 0
+                for i in np.argsort(offsets, kind="stable").tolist():
+                    samples = np.frombuffer(own[i].as_buffer(), np.int8)
+                    if offsets[i] != at:
+                        raise FlacError("a block is missing")
                     payload = (samples.view(np.uint8) ^ 0x80).tobytes()
-                    wide = samples.astype(np.int32)
-                    crossings = int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
-                    power = float(np.dot(wide.astype(np.float64), wide)) / len(wide)
-                    feature = f"blocks={len(blocks)} peak={int(np.abs(wide).max())} mean={wide.mean():.4f} rms={np.sqrt(power):.4f} crossings={crossings}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["key", "n_bytes", *names])
+                    sha.update(payload)
+                    tail = (tail + payload)[-64:]
+                    wide = samples.astype(np.int64)
+                    peak, level, power = max(peak, int(np.abs(wide).max())), level + int(wide.sum()), power + int(wide @ wide)
+                    below = np.concatenate([[wide[0] < 0 if last is None else last], wide < 0])
+                    crossings, last, at = crossings + int((below[1:] != below[:-1]).sum()), below[-1], at + len(wide)
+                feature = f"blocks={len(offsets)} peak={peak} mean={level / at:.4f} rms={np.sqrt(power / at):.4f} crossings={crossings}"
+                rows.append((at, sha.hexdigest(), zlib.crc32(tail), feature))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+            a, b, c, d = (pa.array([r[i] for r in rows], t) for i, t in enumerate(types))
+            columns = [batch.column("key"), batch.column("n_bytes"), a, b, c, batch.column("media_bytes"), batch.column("media_sha256"), d]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = df.select("key", "n_bytes").schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(name, kind)
-    return df.select("key", "n_bytes", "media").mapInArrow(lean(digested), schema)
+    return df.select("key", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(lean(digested), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, lean, picked
+from .common import as_bytes, chunks, fresh, lean, picked, spent, stash
 from .shingles import SPACES, Words, splitmix
 
 BUCKETS = 1 << 17
@@ -95,11 +95,12 @@ def sgd(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: int
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 6000) -> Model:
+def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 6000, most_shares: int = 16_000_000) -> Model:
     """The model fitted on at most most_rows labelled rows, the first in the order of their keys' hash.
 
-    That bound is the only sample: its rows' bucket shares (not texts) come to the driver, at most most_rows times
-    the distinct n-grams of a text. Rows whose crc32(key as text) mod 4 is 2 are never used, nor null keys or
+    Those bounds are the only sample: its rows' bucket shares (not texts) come to the driver, 8 bytes each, and no more
+    than most_shares in all: rows are taken in their order as far as that reaches, so very long texts can't fill the
+    driver. Texts of usual length stay far below it. Rows whose crc32(key as text) mod 4 is 2 are never used, nor null keys or
     labels; a key with several labels takes the least, one with several texts that of the least hash. No labels: a
     model that scores 0.5 everywhere.
     """
@@ -109,9 +110,18 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key")
     texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     texts = texts.groupBy("rank", "label", "key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("rank", "label", F.col("one.text").alias("text"))
-    rows = texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary").toPandas()
-    rows = rows.sort_values(["rank", "label", "ids"], kind="stable")
-    return sgd([(int(r.label > 0), np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows.itertuples()])
+    rows = stash(texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary"))
+    sizes = rows.select("rank", "label", "ids", (F.length("ids") / 4).cast("long").alias("n")).orderBy("rank", "label", "ids").select("rank", "n").collect()
+    total, cut = 0, None
+    for r in sizes:
+        total += r.n
+        if total > most_shares:
+            break
+        cut = r.rank
+    taken = rows.where(F.col("rank") <= cut).toPandas() if cut is not None else rows.limit(0).toPandas()
+    spent(rows)
+    taken = taken.sort_values(["rank", "label", "ids"], kind="stable")
+    return sgd([(int(r.label > 0), np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in taken.itertuples()])
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
@@ -128,7 +138,8 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     """df with a double column `name`: the probability of label 1 of each whole text.
 
     Null text counts as empty. Only the text is an input; all columns pass through unchanged, so extra ones,
-    nulls and repeated rows do no harm, and equal texts get equal scores. An empty table gives no rows.
+    nulls and repeated rows do no harm, and equal texts get equal scores. Where df has a column of that name already,
+    ours is the one with underscores behind it. Very long texts are scored whole. An empty table gives no rows.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,4 +149,4 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
 
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("whole"), df[text].alias("text_"))
     out = rows.mapInArrow(lean(scored), rows.select("whole").schema.add("score_", "double"))
-    return out.select(*[F.col("whole")[c].alias(c) for c in df.columns], F.col("score_").alias(name))
+    return out.select(*[F.col("whole")[c].alias(c) for c in df.columns], F.col("score_").alias(fresh(df, name)[0]))

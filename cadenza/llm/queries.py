@@ -40,7 +40,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_digests(flac.encode_flac(_table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+    return flac.media_digests(flac.pcm_blocks(_table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,8 @@ SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id =
 
 
 def _license_sql() -> str:
-    words = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    """Blocks are looked at in documents that hold a label's required words; each begins at a template's word."""
+    words = ", ".join(f"({i}, '{label}', '{text}', '{' '.join(licenses.REQUIRED[label])}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
     top, low = licenses.THRESHOLD.numerator, licenses.THRESHOLD.denominator
     phrases = " UNION ALL ".join(
         f"SELECT a.doc_id, a.pos AS pos, '{label}' AS label FROM k a " + " ".join(f"JOIN k b{j} ON b{j}.doc_id = a.doc_id AND b{j}.pos = a.pos + {j} AND b{j}.word = '{word}'" for j, word in enumerate(phrase.split()) if j) + f" WHERE a.word = '{phrase.split()[0]}'"
@@ -183,10 +184,14 @@ k AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word F
 p AS ("""
         + phrases
         + f"""),
-t AS (SELECT no, label, unnest(list_distinct(string_split(txt, ' '))) AS word, len(list_distinct(string_split(txt, ' '))) AS size FROM (VALUES {words}) AS x(no, label, txt)),
-h AS (SELECT k.doc_id, t.no, t.label, t.size, t.word, k.pos // t.size AS block FROM k JOIN t USING (word)),
-b AS (SELECT doc_id, no, label, size, block, word FROM h UNION SELECT doc_id, no, label, size, block - 1, word FROM h WHERE block > 0),
-f AS (SELECT doc_id, label, count(*) / size AS share FROM b GROUP BY doc_id, no, label, size, block HAVING count(*) * {low} >= size * {top}),
+x AS (SELECT no, label, list_distinct(string_split(txt, ' ')) AS own, string_split(must, ' ') AS must FROM (VALUES {words}) AS x(no, label, txt, must)),
+t AS (SELECT no, label, unnest(own) AS word, len(own) AS size, len(must) AS musts, must FROM x),
+h AS (SELECT k.doc_id, t.no, t.label, t.size, t.musts, k.word, k.pos, list_contains(t.must, k.word) AS needed FROM k JOIN t USING (word)),
+c AS (SELECT doc_id, no FROM h GROUP BY ALL HAVING count(DISTINCT CASE WHEN needed THEN word END) = max(musts) AND count(DISTINCT word) * {low} >= max(size) * {top}),
+g0 AS (SELECT h.* FROM h JOIN c USING (doc_id, no)),
+g1 AS (SELECT doc_id, no, word, pos, needed, pos // (2 * size) AS bucket FROM g0 UNION ALL SELECT doc_id, no, word, pos, needed, pos // (2 * size) - 1 FROM g0),
+f AS (SELECT a.doc_id, a.label, count(DISTINCT b.word) / a.size AS share FROM g0 a JOIN g1 b ON b.doc_id = a.doc_id AND b.no = a.no AND b.bucket = a.pos // (2 * a.size) AND b.pos >= a.pos AND b.pos < a.pos + 2 * a.size
+ GROUP BY a.doc_id, a.no, a.label, a.size, a.musts, a.pos HAVING count(DISTINCT b.word) * {low} >= a.size * {top} AND count(DISTINCT CASE WHEN b.needed THEN b.word END) = a.musts),
 g AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT doc_id, label, share FROM f UNION ALL SELECT doc_id, label, 1.0 FROM p) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
