@@ -59,10 +59,16 @@ def spent(*frames: DataFrame | None) -> None:
     """Deletes the folders of stash()'s frames that no later plan reads."""
     for df in frames:
         if df is not None and id(df) in _paths:
-            _deleted(df.sparkSession, _paths.pop(id(df))[1])
+            discard(df.sparkSession, _paths.pop(id(df))[1])
 
 
-def _deleted(spark: SparkSession, path: str) -> None:
+def stash_folder(spark: SparkSession, path: str) -> str:
+    """path, which goes when the process ends."""
+    _stashes.append((spark, path))
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -71,7 +77,7 @@ def _deleted(spark: SparkSession, path: str) -> None:
 def _drop_stashes() -> None:
     for spark, path in _stashes:
         try:
-            _deleted(spark, path)
+            discard(spark, path)
         except Exception:  # the session may be gone; its folder is then the cluster's to clear
             return
 

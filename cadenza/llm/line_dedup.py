@@ -158,12 +158,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_ch
     """df with n_lines, n_dropped and text without the dropped lines; the other columns stay as they are.
 
     Columns of df that have those names already stay too: ours are then called n_lines_ and n_dropped_. For nulls,
-    repeated keys and empty tables see line_bitmaps; repeated rows stay repeated, each without the same lines.
+    repeated keys and empty tables see line_bitmaps; repeated rows stay repeated, each without the same lines. A text
+    that loses no line stays as it is, null too.
     """
     rows = _matched(df, line_bitmaps(df, key, text, least_chars), key, text).select("whole", "text", "bitmap")
     schema = rows.select("whole").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     out = rows.mapInArrow(lean(_apply), schema)
-    columns = [F.col("kept").alias(c) if c == text else F.col("whole")[c].alias(c) for c in df.columns]
+    thinned = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("whole")[text])
+    columns = [thinned.alias(c) if c == text else F.col("whole")[c].alias(c) for c in df.columns]
     return out.select(*columns, *[F.col(c).alias(name) for c, name in zip(("n_lines", "n_dropped"), fresh(df, "n_lines", "n_dropped"), strict=True)])
 
 

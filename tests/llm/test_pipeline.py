@@ -98,3 +98,53 @@ def test_near_copies_with_repeated_and_null_keys(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
     distinct = docs.where("doc_id < 3").dropDuplicates(["doc_id"])
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, distinct.where("doc_id = 1"), SF).collect()} == {1}
+
+
+ODD = [("n_dropped", 1), ("n_lines", 1), ("score_", 0.1), ("score", 0.2), ("mark_", "m"), ("doc_", 5), ("row", "r"), ("whole", "w"), ("name", "n"), ("mark", "k"), ("key", 3), ("tokens", 4), ("kept", "x"), ("n", 9)]
+
+
+def _odd_documents(spark):
+    """Documents with columns that clash with names used inside, shared and repeated and null ids, odd and long texts."""
+    prose = lambda seed, n: " ".join(f"w{(seed * 7919 + i * 104729) % 9973}" for i in range(n))
+    line = "A line that two documents and a third one share"
+    texts = [(1, f"{prose(1, 60)}\n{line}"), (2, f"{prose(2, 60)}\n{line}"), (2, f"{prose(3, 40)}\n{line.upper()}"), (3, line), (4, prose(4, 30)), (4, prose(4, 30)), (5, None), (6, ""), (7, " \n\t"), (None, prose(8, 25)), (None, prose(9, 25)), (None, f"{prose(1, 60)} end"), (8, prose(10, 60_000)), (9, "one two")]
+    rows = [(d, t, "en", s, None if t is None else len(t), *[v for _, v in ODD]) for (d, t), s in zip(texts, ["a", "b", None, "a"] * 4, strict=False)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'int'}" for n, v in ODD)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = _odd_documents(spark)
+    given = docs.collect()
+    as_tuple = lambda r: tuple("" if x is None else str(x) for x in r)
+    one = corpus_pipeline.judge_quality(spark, docs, SF)
+    assert one.columns == docs.columns and Counter(map(as_tuple, one.collect())) <= Counter(map(as_tuple, given))
+
+    two = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
+    assert two.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in two.collect())
+    # document 3 goes with its only line, 2 loses its second one, both by document 1
+    want = Counter((r.doc_id, r.text.split("\n")[0] if r.doc_id == 2 else r.text) for r in given if r.doc_id != 3)
+    assert got == want
+
+    three = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert three.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in three.collect())
+    first = next(r.text for r in given if r.doc_id == 1)
+    assert all(n == 1 for k, n in left.items() if k[1] and k[1].strip()) and (1, first) in left and sum(1 for k in left if k[0] == 4) == 1
+
+    four = corpus_pipeline.mix(spark, docs, SF)
+    drawn = Counter(map(as_tuple, four.collect()))
+    assert four.columns == docs.columns and set(drawn) == set(map(as_tuple, given))
+
+    five = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert sum(1 for r in five if r.piece == 0) == len(given) and all(r.length == 1 for r in five if r.doc_id in (5, 6))
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    docs = _odd_documents(spark).limit(0)
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+    assert corpus_pipeline.judge_quality(spark, _odd_documents(spark), str(tmp_path)).count() == 0  # no labels: nothing is known to be good
