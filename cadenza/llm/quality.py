@@ -118,10 +118,11 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if total > most_shares:
             break
         cut = r.rank
-    taken = rows.where(F.col("rank") <= cut).toPandas() if cut is not None else rows.limit(0).toPandas()
+    # partition by partition, as arrays at once: the driver never holds the rows twice
+    taken = [(r.rank, r.label, bytes(r.ids), np.frombuffer(r.shares, np.float32)) for r in rows.where(F.col("rank") <= cut).toLocalIterator()] if cut is not None else []
     spent(rows)
-    taken = taken.sort_values(["rank", "label", "ids"], kind="stable")
-    return sgd([(int(r.label > 0), np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)) for r in taken.itertuples()])
+    taken.sort(key=lambda r: r[:3])
+    return sgd([(int(label > 0), np.frombuffer(ids, np.int32), shares) for _, label, ids, shares in taken])
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
