@@ -38,11 +38,9 @@ def peaks(df: DataFrame, by: list[str], value: str = "v", order: str = "frame",
 
 
 def autocorrelation(df: DataFrame, by: list[str], max_lag: int) -> DataFrame:
-    """(by..., lag, r): zero-mean products averaged over the overlap and divided by lag 0's, for lags 0..max_lag."""
-    mean = df.groupBy(*by).agg(F.avg("v").alias("mean"))
-    centred = df.join(mean, by) if by else df.crossJoin(F.broadcast(mean))
-    centred = centred.select(*by, "frame", (F.col("v") - F.col("mean")).alias("p"))
-    lags = centred.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("frame", F.col("frame") + F.col("lag")).withColumnRenamed("p", "q")
-    r = lags.join(centred, [*by, "frame"]).groupBy(*by, "lag").agg((F.sum(F.col("p") * F.col("q")) / F.count("*")).alias("r"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("r"))).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
-    return r.withColumn("r", F.when(zero > 0, F.col("r") / zero).otherwise(F.col("r")))
+    """(by..., lag, r): zero-mean products averaged over the overlap and divided by lag 0's, for lags 0..max_lag.
+
+    A track's curve is gathered once, with one shuffle by track, and all its lags come from that array."""
+    from .series import acf, gathered
+
+    return gathered(df, by).select(*by, F.posexplode(acf(F.col("values"), max_lag)).alias("lag", "r"))

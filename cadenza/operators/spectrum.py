@@ -114,3 +114,42 @@ def summary(bins: DataFrame, by: list[str], hz: str = "hz", power: str = "p") ->
         F.min(F.when(F.col("run") >= 0.95 * F.col("all_"), F.col(hz))).alias("rolloff_95_hz"),
         F.max(F.when(F.col(power) >= F.col("top") * 1e-4, F.col(hz))).alias("high_cutoff_hz"),  # 40 dB below the top
     )
+
+
+def spectrogram(frames: DataFrame, by: list[str], magnitudes: Column, bands: list[tuple[float, float]], bin_hz: float, columns: int, depth_db: float) -> DataFrame:
+    """(by..., row, col, db) from rows (by..., frame, frames) with a spectrum each: mean magnitudes of bands over at most
+    `columns` stretches of the track in decibels, the highest band in row 0, nothing more than depth_db below the top."""
+    rows = []
+    for k, (low, high) in enumerate(bands):
+        first = int(low // bin_hz)
+        size = max(first + 1, -int(-high // bin_hz)) - first
+        part = F.slice("spectrum_", first + 1, size)
+        rows.append(F.struct(F.lit(len(bands) - 1 - k).alias("row"), (F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / F.size(part)).alias("e")))
+    cells = frames.withColumn("spectrum_", magnitudes).withColumn("col", F.floor(F.col("frame") * F.least(F.lit(columns), F.col("frames")) / F.col("frames")).cast("int"))
+    means = cells.select(*by, "col", F.explode(F.array(*rows)).alias("c")).groupBy(*by, F.col("c.row").alias("row"), "col").agg(decibels(F.avg("c.e")).alias("db"))
+    return means.withColumn("db", F.greatest(F.col("db"), F.max("db").over(W.partitionBy(*by)) - depth_db))
+
+
+def _spectral_peaks(bins: DataFrame, by: list[str], bin_hz: float, low: float, high: float, clamp: bool) -> DataFrame:
+    """The strict local maxima between two frequencies of rows (by..., i, a), with `semitones` from A = 440 Hz."""
+    w = W.partitionBy(*by).orderBy("i")
+    marked = bins.withColumn("l_", F.lag("a").over(w)).withColumn("r_", F.lead("a").over(w))
+    inside = (F.col("i") * bin_hz >= low) & (F.col("i") * bin_hz <= high)
+    shift = 0.5 * (F.col("l_") - F.col("r_")) / (F.col("l_") - 2 * F.col("a") + F.col("r_"))
+    shift = F.least(F.greatest(shift, F.lit(-0.5)), F.lit(0.5)) if clamp else shift
+    found = marked.where((F.col("a") > F.col("l_")) & (F.col("a") > F.col("r_")) & inside).withColumn("hz_", (F.col("i") + shift) * bin_hz)
+    return found.where("hz_ > 0").withColumn("semitones", 12 * F.log2(F.col("hz_") / 440)).withColumn("note_", F.signum("semitones") * F.floor(F.abs("semitones") + 0.5)).drop("l_", "r_", "hz_")
+
+
+def tuning_buckets(bins: DataFrame, by: list[str], bin_hz: float) -> DataFrame:
+    """(by..., a, bucket) of the spectral peaks from 100 to 4000 Hz: whole cents off the nearest semitone, from -50 on."""
+    off = F.floor((F.col("semitones") - F.col("note_")) * 100 + 50)
+    return _spectral_peaks(bins, by, bin_hz, 100.0, 4000.0, clamp=False).select(*by, "a", F.least(F.greatest(off, F.lit(0)), F.lit(99)).cast("int").alias("bucket"))
+
+
+def pitch_shares(bins: DataFrame, by: list[str], bin_hz: float) -> DataFrame:
+    """(by..., pitch, share): the peaks' energies from 55 to 3000 Hz by pitch class from C, as shares of each spectrum;
+    peaks more than a third of a semitone off a note don't count."""
+    good = _spectral_peaks(bins, by, bin_hz, 55.0, 3000.0, clamp=True).where(F.abs(F.col("semitones") - F.col("note_")) <= 0.33)
+    notes = good.groupBy(*by, F.pmod(F.col("note_").cast("int") + 9, F.lit(12)).alias("pitch")).agg(F.sum(F.col("a") * F.col("a")).alias("e_"))
+    return notes.select(*by, "pitch", (F.col("e_") / F.sum("e_").over(W.partitionBy(*by))).alias("share"))

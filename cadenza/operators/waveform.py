@@ -66,6 +66,18 @@ def pack(columns: np.ndarray) -> bytes:
     return (height | low << 5 | mid << 8 | high << 11).astype("<u2").tobytes()
 
 
+def heights(peaks: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., col, height) of rows (by..., col, peak): peaks against the 99th percentile (a nearest rank) of those that
+    are not 0, as 0 to 31."""
+    from pyspark.sql import Window as W
+
+    ordered = F.array_sort(F.collect_list(F.when(F.col("peak") > 0, F.col("peak"))).over(W.partitionBy(*by)))
+    place = F.least(F.floor(F.size("ordered_") * 99 / 100), F.size("ordered_") - 1).cast("int")
+    top = F.coalesce(F.get("ordered_", place), F.lit(1.0))
+    share = F.least(F.greatest(F.col("peak") / top, F.lit(0.0)), F.lit(1.0))
+    return peaks.withColumn("ordered_", ordered).select(*by, "col", F.round(share * 31).cast("int").alias("height"))
+
+
 def waveforms(tracks: DataFrame, columns: int | None = None) -> DataFrame:
     """(path, columns_per_second, columns): packed columns of every track of read_wav; `columns` of them, or
     DETAIL_RATE a second. Tracks without samples have none. One track is in memory at a time."""

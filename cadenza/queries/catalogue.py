@@ -6,50 +6,33 @@ stand in for magnitude spectra of 64 bins, orders for tracks, and parts, pages a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.operators import naming, onset, spectrum, structure, tempo
-
-FRAMES = 720
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
+from cadenza.operators import onset, spectrum, tempo
 
-def query(sql: str):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        _SQL[f.__name__] = sql
-        return f
+from .registry import QUERIES, SQL, query, r6
+from .registry import table as _t
 
-    return add
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(name: str, column=None):
-    return F.round(F.col(name) if column is None else column, 6).alias(name)
+    return dict(SQL)
 
 
 # ---- the event signal ----
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _t(spark, sf_dir, "events")
+    """(band, frame, energy) over every hour from the first event's to the last one's, 0 where a band has no event."""
     frame = F.expr("cast(timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz)) as int)")
-    sums = events.groupBy(F.col("event_type").alias("band"), frame.alias("frame")).agg(F.sum("value").alias("energy"))
-    dense = events.select(F.col("event_type").alias("band")).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))))
+    sums = _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("band"), frame.alias("frame")).agg(F.sum("value").alias("energy"))
+    ends = sums.groupBy("band").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))  # one row a band
+    every = W.partitionBy(F.lit(0))
+    ends = ends.select("band", F.min("first").over(every).alias("first"), F.max("last").over(every).alias("last"))
+    dense = ends.select("band", F.explode(F.sequence("first", "last")).alias("frame"))
     return dense.join(sums, ["band", "frame"], "left").withColumn("energy", F.coalesce("energy", F.lit(0.0)))
 
 
@@ -70,8 +53,8 @@ def one(df: DataFrame) -> DataFrame:
     return df.withColumn("track", F.lit(0))
 
 
-_GRID = f"""WITH RECURSIVE g AS (SELECT b.band, f.frame::INT AS frame, coalesce(e.energy, 0) AS energy
- FROM (SELECT DISTINCT event_type AS band FROM events) b CROSS JOIN (SELECT unnest(range({FRAMES})) AS frame) f
+GRID_SQL = """WITH RECURSIVE g AS (SELECT b.band, f.frame::INT AS frame, coalesce(e.energy, 0) AS energy
+ FROM (SELECT DISTINCT event_type AS band FROM events) b CROSS JOIN (SELECT unnest(range(min(h), max(h) + 1)) AS frame FROM (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS h FROM events)) f
  LEFT JOIN (SELECT event_type AS band, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS frame, sum(value) AS energy FROM events GROUP BY ALL) e
  ON e.band = b.band AND e.frame = f.frame),
 x AS (SELECT *, coalesce(greatest(ln(1 + energy) - lag(ln(1 + energy)) OVER (PARTITION BY band ORDER BY frame), 0), 0) AS flux FROM g),
@@ -86,22 +69,22 @@ pk AS (SELECT band, frame, v FROM (SELECT *, lag(v) OVER o AS b, lead(v) OVER o
 """
 
 
-@query(_GRID + "SELECT band, frame, round(energy, 6) AS energy FROM g")
+@query(GRID_SQL + "SELECT band, frame, round(energy, 6) AS energy FROM g")
 def band_energy_grid(spark, sf_dir):
     return grid(spark, sf_dir).select("band", "frame", r6("energy"))
 
 
-@query(_GRID + "SELECT band, frame, round(flux, 6) AS flux FROM x")
+@query(GRID_SQL + "SELECT band, frame, round(flux, 6) AS flux FROM x")
 def spectral_flux(spark, sf_dir):
     return flux(spark, sf_dir).select("band", "frame", r6("flux"))
 
 
-@query(_GRID + "SELECT band, frame, round(v, 6) AS v FROM n")
+@query(GRID_SQL + "SELECT band, frame, round(v, 6) AS v FROM n")
 def novelty_moving_mean(spark, sf_dir):
     return band_novelty(spark, sf_dir).select("band", "frame", r6("v"))
 
 
-@query(_GRID + "SELECT frame, round(v, 6) AS v FROM w")
+@query(GRID_SQL + "SELECT frame, round(v, 6) AS v FROM w")
 def broadband_novelty(spark, sf_dir):
     return broad(spark, sf_dir).select("frame", r6("v"))
 
@@ -110,84 +93,42 @@ def _acf(spark, sf_dir):
     return onset.autocorrelation(one(broad(spark, sf_dir)), ["track"], 48)
 
 
-@query(_GRID + "SELECT lag::INT AS lag, round(r, 6) AS r FROM r")
+@query(GRID_SQL + "SELECT lag::INT AS lag, round(r, 6) AS r FROM r")
 def autocorrelation(spark, sf_dir):
     return _acf(spark, sf_dir).select("lag", r6("r"))
 
 
-@query(_GRID + "SELECT period::INT AS period, round(salience, 6) AS salience FROM s")
+@query(GRID_SQL + "SELECT period::INT AS period, round(salience, 6) AS salience FROM s")
 def comb_salience(spark, sf_dir):
     return tempo.comb_salience(_acf(spark, sf_dir), (2, 48), 4).select("period", r6("salience"))
 
 
-@query(_GRID + "SELECT period::INT AS period, round(salience, 6) AS salience FROM (SELECT *, lag(salience) OVER (ORDER BY period) AS b, lead(salience) OVER (ORDER BY period) AS a FROM s) WHERE salience > b AND salience >= a AND salience > 0")
-def tempo_peaks_topk(spark, sf_dir):
-    curve = one(tempo.comb_salience(_acf(spark, sf_dir), (2, 48), 4))
-    return onset.peaks(curve, ["track"], "salience", "period").select("period", r6("salience"))
-
-
 @query("SELECT bpm::INT AS bpm, round(exp(-0.5 * pow(log2(bpm / 115.0) / 0.7, 2)), 6) AS weight FROM (SELECT unnest(range(60, 221)) AS bpm)")
 def tempo_weighting(spark, sf_dir):
     return spark.range(60, 221).select(F.col("id").cast("int").alias("bpm"), F.round(tempo.tempo_weight(F.col("id").cast("double"), 115.0, 0.7), 6).alias("weight"))
 
 
-@query("SELECT o_orderkey, CASE WHEN abs(b - round(b)) <= 0.25 THEN round(b) ELSE b END AS bpm FROM (SELECT o_orderkey, 60 + (o_totalprice / 1000) % 160 AS b FROM orders)")
-def integer_snap(spark, sf_dir):
-    bpm = 60 + (F.col("o_totalprice") / 1000) % 160
-    return _t(spark, sf_dir, "orders").select("o_orderkey", tempo.snapped(bpm, 0.25).alias("bpm"))
-
-
-@query(_GRID + f"SELECT s.start::INT AS start, round(avg(w.v), 6) AS mean_v, round(max(w.v), 6) AS top_v, count(*) AS frames FROM w JOIN (SELECT unnest(range(0, {FRAMES} - 48 + 1, 24)) AS start) s ON w.frame >= s.start AND w.frame < s.start + 48 GROUP BY s.start")
-def hopping_window_stats(spark, sf_dir):
-    rows = tempo.hops(broad(spark, sf_dir), 48, 24, FRAMES)
-    return rows.groupBy("start").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.max("v"), 6).alias("top_v"), F.count("*").alias("frames"))
-
-
-@query(_GRID + "SELECT band, frame, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY v DESC, frame DESC) AS k FROM n) WHERE k = 1")
-def best_per_band(spark, sf_dir):
-    best = F.max(F.struct("v", "frame")).alias("b")
-    return band_novelty(spark, sf_dir).groupBy("band").agg(best).select("band", "b.frame", F.round("b.v", 6).alias("v"))
-
-
-@query("SELECT o_custkey, a[round((len(a) - 1) * 0.5)::INT + 1] AS median, a[round((len(a) - 1) * 0.75)::INT + 1] - a[round((len(a) - 1) * 0.25)::INT + 1] AS iqr FROM (SELECT o_custkey, list_sort(list(o_totalprice)) AS a FROM orders GROUP BY o_custkey)")
-def stability_quantiles(spark, sf_dir):
-    lists = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_totalprice")).alias("a"))
-    rank = lambda q: tempo.nearest_rank(F.col("a"), q)
-    return lists.select("o_custkey", rank(0.5).alias("median"), (rank(0.75) - rank(0.25)).alias("iqr"))
-
-
-@query(_GRID + "SELECT frame % 24 AS phase, round(sum(v), 6) AS score FROM w GROUP BY ALL")
-def beat_phase_search(spark, sf_dir):
-    return tempo.beat_phases(broad(spark, sf_dir), [], 24).select("phase", r6("score"))
-
-
-def _peaks(spark, sf_dir):
+def peaks_of_bands(spark, sf_dir):
     return onset.peaks(band_novelty(spark, sf_dir), ["band"], floor=F.avg("v").over(W.partitionBy("band")))
 
 
-@query(_GRID + "SELECT band, frame, round(v, 6) AS v FROM pk")
+@query(GRID_SQL + "SELECT band, frame, round(v, 6) AS v FROM pk")
 def novelty_peaks(spark, sf_dir):
-    return _peaks(spark, sf_dir).select("band", "frame", r6("v"))
+    return peaks_of_bands(spark, sf_dir).select("band", "frame", r6("v"))
 
 
-@query(_GRID + "SELECT g.band, g.frame, min(abs(g.frame - pk.frame))::DOUBLE AS distance FROM g LEFT JOIN pk USING (band) WHERE g.frame % 12 = 0 GROUP BY g.band, g.frame")
+@query(GRID_SQL + "SELECT g.band, g.frame, min(abs(g.frame - pk.frame))::DOUBLE AS distance FROM g LEFT JOIN pk USING (band) WHERE g.frame % 12 = 0 GROUP BY g.band, g.frame")
 def nearest_peak_asof(spark, sf_dir):
     beats = grid(spark, sf_dir).where("frame % 12 = 0").select("band", "frame")
-    return tempo.nearest(beats, _peaks(spark, sf_dir).select("band", "frame"), ["band"])
+    return tempo.nearest(beats, peaks_of_bands(spark, sf_dir).select("band", "frame"), ["band"])
 
 
-@query(_GRID + "SELECT band, phase, round(CASE WHEN rest = 0 THEN 0 ELSE mean / rest END, 6) AS contrast FROM (SELECT *, (sum(mean) OVER (PARTITION BY band) - mean) / 3 AS rest, row_number() OVER (PARTITION BY band ORDER BY mean DESC, phase DESC) AS k FROM (SELECT band, frame % 4 AS phase, avg(v) AS mean FROM n GROUP BY ALL)) WHERE k = 1")
+@query(GRID_SQL + "SELECT band, phase, round(CASE WHEN rest = 0 THEN 0 ELSE mean / rest END, 6) AS contrast FROM (SELECT *, (sum(mean) OVER (PARTITION BY band) - mean) / 3 AS rest, row_number() OVER (PARTITION BY band ORDER BY mean DESC, phase DESC) AS k FROM (SELECT band, frame % 4 AS phase, avg(v) AS mean FROM n GROUP BY ALL)) WHERE k = 1")
 def bar_phase(spark, sf_dir):
     rows = band_novelty(spark, sf_dir).withColumnRenamed("frame", "beat")
     return tempo.bar_phase(rows, ["band"]).select("band", "phase", r6("contrast"))
 
 
-@query(_GRID + "SELECT band, min(frame) AS lead_in FROM (SELECT *, max(energy) OVER (PARTITION BY band) AS top FROM g) WHERE energy >= top * 0.1 GROUP BY band")
-def lead_in(spark, sf_dir):
-    top = F.max("energy").over(W.partitionBy("band"))
-    return grid(spark, sf_dir).withColumn("top", top).where("energy >= top * 0.1").groupBy("band").agg(F.min("frame").alias("lead_in"))
-
-
 @query("""SELECT i::INT AS band, round(a, 6) AS low_hz, round(b, 6) AS high_hz, floor(a / h)::INT AS first_bin, greatest(floor(a / h) + 1, ceil(b / h))::INT AS end_bin FROM
  (SELECT i, 44100 / 2048.0 AS h, 30.0 * pow(16000 / 30.0, i / 8.0) AS a, 30.0 * pow(16000 / 30.0, (i + 1) / 8.0) AS b FROM (SELECT unnest(range(8)) AS i))""")
 def log_bands(spark, sf_dir):
@@ -195,38 +136,11 @@ def log_bands(spark, sf_dir):
     return rows.select("band", r6("low_hz"), r6("high_hz"), "first_bin", "end_bin")
 
 
-@query(_GRID + """SELECT 'flat-bar-phase' AS code, 'info' AS severity, count(*) AS n FROM (SELECT band, max(m) / avg(m) AS c FROM (SELECT band, frame % 4 AS p, avg(v) AS m FROM n GROUP BY ALL) GROUP BY band) WHERE c < 1.1
- UNION ALL SELECT 'silent-frame', 'warning', count(*) FROM g WHERE energy = 0 UNION ALL SELECT 'no-onset', 'warning', count(*) FROM w WHERE v = 0""")
-def findings_union(spark, sf_dir):
-    means = band_novelty(spark, sf_dir).groupBy("band", (F.col("frame") % 4).alias("p")).agg(F.avg("v").alias("m"))
-    rules = [
-        ("flat-bar-phase", "info", means.groupBy("band").agg((F.max("m") / F.avg("m")).alias("c")).where("c < 1.1")),
-        ("silent-frame", "warning", grid(spark, sf_dir).where("energy = 0")),
-        ("no-onset", "warning", broad(spark, sf_dir).where("v = 0")),
-    ]
-    out = None
-    for code, severity, rows in rules:
-        found = rows.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query(_GRID + "SELECT band, frame * 30 // 720 AS cell, round(max(energy), 6) AS top FROM g GROUP BY ALL")
+@query(GRID_SQL + "SELECT band, frame * 30 // (SELECT max(frame) + 1 FROM g) AS cell, round(max(energy), 6) AS top FROM g GROUP BY ALL")
 def max_pool(spark, sf_dir):
-    return grid(spark, sf_dir).groupBy("band", F.expr("cast(frame * 30 div 720 as int)").alias("cell")).agg(F.round(F.max("energy"), 6).alias("top"))
-
-
-@query(_GRID + "SELECT band, frame * 60 // 720 AS col, round(20 * log10(greatest(avg(energy), 1e-10)), 6) AS db FROM g GROUP BY ALL")
-def spectrogram_cells(spark, sf_dir):
-    cells = grid(spark, sf_dir).groupBy("band", F.expr("cast(frame * 60 div 720 as int)").alias("col")).agg(F.avg("energy").alias("e"))
-    return cells.select("band", "col", F.round(spectrum.decibels(F.col("e")), 6).alias("db"))
-
-
-@query(_GRID + "SELECT b.bar::INT AS bar, g.band, round(avg(g.energy), 6) AS energy FROM (SELECT unnest(range(40)) AS bar) b JOIN g ON g.frame >= b.bar * 17 AND g.frame < least(b.bar * 17 + 19, 720) GROUP BY ALL")
-def bar_means_range_join(spark, sf_dir):
-    # overlapping bars of 19 frames every 17: the range join becomes an equi join on exploded frames
-    bars = spark.range(40).select(F.col("id").cast("int").alias("bar"), F.explode(F.sequence(F.expr("cast(id * 17 as int)"), F.expr("cast(least(id * 17 + 18, 719) as int)"))).alias("frame"))
-    return bars.join(grid(spark, sf_dir), "frame").groupBy("bar", "band").agg(F.round(F.avg("energy"), 6).alias("energy"))
+    frames = F.max("frame").over(W.partitionBy("band")) + 1
+    rows = grid(spark, sf_dir).withColumn("cell", F.floor(F.col("frame") * 30 / frames).cast("int"))
+    return rows.groupBy("band", "cell").agg(F.round(F.max("energy"), 6).alias("top"))
 
 
 # ---- spectra ----
@@ -243,145 +157,13 @@ def average_spectrum(spark, sf_dir):
     return bins(spark, sf_dir).groupBy("i").agg(F.round(F.avg("a"), 6).alias("mean"))
 
 
-@query(_BINS + """, t AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY hz) AS run, sum(p) OVER (PARTITION BY vec_id) AS total, max(p) OVER (PARTITION BY vec_id) AS top FROM b)
-SELECT vec_id, min(hz) FILTER (p = top)::DOUBLE AS peak_hz, round(sum(hz * p) / sum(p), 6) AS centroid_hz, min(hz) FILTER (run >= 0.95 * total)::DOUBLE AS rolloff_95_hz, max(hz) FILTER (p >= top * 1e-4)::DOUBLE AS high_cutoff_hz FROM t GROUP BY vec_id""")
+@query(_BINS + """, t AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY hz) AS run, sum(p) OVER (PARTITION BY vec_id) AS total, max(CASE WHEN hz >= 20 THEN p END) OVER (PARTITION BY vec_id) AS top FROM b)
+SELECT vec_id, max(hz) FILTER (p = top)::DOUBLE AS peak_hz, round(sum(hz * p) / sum(p), 6) AS centroid_hz, min(hz) FILTER (run >= 0.95 * total)::DOUBLE AS rolloff_95_hz, max(hz) FILTER (p >= top * 1e-4)::DOUBLE AS high_cutoff_hz FROM t GROUP BY vec_id""")
 def spectrum_summary(spark, sf_dir):
     return spectrum.summary(bins(spark, sf_dir), ["vec_id"]).withColumn("centroid_hz", F.round("centroid_hz", 6))
 
 
-@query(_BINS + "SELECT vec_id, round(sum(CASE WHEN hz < 200 THEN p ELSE 0 END) / sum(p), 6) AS low_share, round(sum(CASE WHEN hz >= 200 AND hz < 4000 THEN p ELSE 0 END) / sum(p), 6) AS mid_share, round(sum(CASE WHEN hz >= 4000 THEN p ELSE 0 END) / sum(p), 6) AS high_share FROM b GROUP BY vec_id")
-def band_shares(spark, sf_dir):
-    share = lambda test, name: F.round(F.sum(F.when(test, F.col("p")).otherwise(0.0)) / F.sum("p"), 6).alias(name)
-    hz = F.col("hz")
-    return bins(spark, sf_dir).groupBy("vec_id").agg(share(hz < 200, "low_share"), share((hz >= 200) & (hz < 4000), "mid_share"), share(hz >= 4000, "high_share"))
-
-
-def _profile_sql() -> str:
-    rows = [(t, m, p, w[(p - t) % 12]) for m, w in enumerate(spectrum.PROFILES["temperley"]) for t in range(12) for p in range(12)]
-    return "(VALUES " + ", ".join(f"({t}, {m} = 1, {p}, {w}::DOUBLE)" for t, m, p, w in rows) + ") AS q(tonic, minor, pitch, w)"
-
-
-@query(_BINS + f""", s AS (SELECT vec_id, tonic, minor, sum(a) AS sx, sum(w) AS sw, sum(a * w) AS sxw, sum(a * a) AS sxx, sum(w * w) AS sww FROM b JOIN {_profile_sql()} ON q.pitch = b.i GROUP BY ALL)
-SELECT vec_id, tonic, minor, correlation, row_number() OVER (PARTITION BY vec_id ORDER BY correlation DESC, minor, tonic)::INT AS rank FROM
- (SELECT vec_id, tonic, minor, round(CASE WHEN 12 * sxx - sx * sx > 1e-12 THEN (12 * sxw - sx * sw) / sqrt((12 * sxx - sx * sx) * (12 * sww - sw * sw)) ELSE 0 END, 9) AS correlation FROM s)""")
-def key_rank_24(spark, sf_dir):
-    return spectrum.rank_keys(bins(spark, sf_dir).where("i < 12").select("vec_id", F.col("i").alias("pitch"), F.col("a").alias("x")), ["vec_id"])
-
-
-@query("SELECT t::INT AS tonic, m, (((CASE WHEN m THEN (t + 3) % 12 ELSE t END) * 7) % 12 + 7) % 12 + 1 || CASE WHEN m THEN 'A' ELSE 'B' END AS camelot FROM (SELECT unnest(range(12)) AS t) CROSS JOIN (VALUES (true), (false)) AS x(m)")
-def camelot_wheel(spark, sf_dir):
-    keys = spark.range(12).select(F.col("id").cast("int").alias("tonic"), F.explode(F.array(F.lit(True), F.lit(False))).alias("m"))
-    return keys.select("tonic", "m", spectrum.camelot(F.col("tonic"), F.col("m")).alias("camelot"))
-
-
-@query("SELECT n || l AS camelot, (CASE WHEN n BETWEEN 1 AND 12 THEN ((n - 8 + 12) % 12) * 2 + CASE l WHEN 'A' THEN 1 ELSE 0 END END)::INT AS number FROM (SELECT unnest(range(1, 15)) AS n) CROSS JOIN (VALUES ('A'), ('B')) AS x(l)")
-def engine_key_number(spark, sf_dir):
-    names = spark.range(1, 15).select("id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("letter")).select(F.concat(F.col("id").cast("string"), "letter").alias("camelot"))
-    return names.select("camelot", spectrum.camelot_number(F.col("camelot")).cast("int").alias("number"))
-
-
-@query(_BINS + """, q AS (SELECT vec_id, i, ln(1 + 1000 * a) AS x FROM b WHERE i < 8), u AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM q)
-SELECT vec_id, i AS band, round(x, 6) AS x FROM u""")
-def bar_shape_db(spark, sf_dir):
-    return shapes(spark, sf_dir).select("vec_id", "band", r6("x"))
-
-
-def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    energies = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(structure.bar_shape(energies)).alias("band", "x"))
-
-
-@query(_BINS + """, q AS (SELECT vec_id, i, ln(1 + 1000 * a) AS x FROM b WHERE i < 8), u AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM q),
-l AS (SELECT u.*, m.label FROM u JOIN embeddings m USING (vec_id)),
-k AS (SELECT label, vec_id AS bar, i, sum(x) OVER p AS b, sum(x) OVER f AS a, count(x) OVER p = 4 AND count(x) OVER f = 4 AS ok FROM l
- WINDOW p AS (PARTITION BY label, i ORDER BY vec_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY label, i ORDER BY vec_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
-SELECT label, bar, round(CASE WHEN bool_and(ok) THEN greatest(sum((b * b + a * a) / 2 - a * b) / 16, 0) ELSE 0 END, 6) AS novelty FROM k GROUP BY label, bar""")
-def self_similarity_novelty(spark, sf_dir):
-    cells = shapes(spark, sf_dir).withColumnRenamed("vec_id", "bar")
-    return structure.checkerboard(cells, ["label"], 4).select("label", "bar", r6("novelty"))
-
-
-# ---- sections over orders: a customer is a track, its orders by key are its sections ----
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("track").orderBy("o_orderkey")
-    rows = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "track")
-    db = F.round(10 * F.log10("o_totalprice"), 6)
-    rows = rows.withColumn("idx", F.row_number().over(order) - 1).withColumn("broadband_db", db)
-    return rows.withColumn("low_db", F.round(F.col("broadband_db") - F.col("o_orderkey") % 7, 6)).withColumn("rise_db", (F.col("o_orderkey") % 9).cast("double"))
-
-
-_SECTIONS = """WITH s AS (SELECT o_custkey AS track, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, round(10 * log10(o_totalprice), 6) AS broadband_db, (o_orderkey % 9)::DOUBLE AS rise_db FROM orders),
-t AS (SELECT *, round(broadband_db - o_orderkey % 7, 6) AS low_db FROM s),
-m AS (SELECT *, max(low_db) OVER w - low_db AS lo, max(broadband_db) OVER w - broadband_db AS br, max(idx) OVER w AS last FROM t WINDOW w AS (PARTITION BY track)),
-l AS (SELECT *, CASE WHEN idx = 0 THEN 'intro' WHEN idx = last THEN 'outro' WHEN lo <= 3 AND br <= 3 THEN 'drop' WHEN rise_db >= 4 THEN 'build' WHEN lo >= 9 THEN 'breakdown' ELSE 'steady' END AS label FROM m),
-f AS (SELECT *, CASE WHEN label = 'build' AND NOT coalesce(max(label = 'drop') OVER (PARTITION BY track ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) THEN 'steady' ELSE label END AS final FROM l)
-"""
-
-
-@query(_SECTIONS + "SELECT track, idx::INT AS idx, final AS label FROM f")
-def section_labels(spark, sf_dir):
-    return structure.section_labels(sections(spark, sf_dir), ["track"]).select("track", "idx", "label")
-
-
-@query(_SECTIONS + """, c AS (SELECT track, min(idx) FILTER (final = 'drop') AS d, min(idx) FILTER (final = 'breakdown') AS e, max(idx) FILTER (final = 'outro') AS g, max(idx) FILTER (final = 'build') AS b, coalesce(min(idx) FILTER (final IN ('drop', 'steady')), 0) AS l FROM f GROUP BY track)
-SELECT track, 'drop' AS role, d::INT AS idx FROM c WHERE d IS NOT NULL UNION ALL SELECT track, 'breakdown', e FROM c WHERE e IS NOT NULL UNION ALL SELECT track, 'outro', g FROM c WHERE g IS NOT NULL
-UNION ALL SELECT track, 'buildup', b FROM c WHERE b IS NOT NULL UNION ALL SELECT track, 'loop-in', l FROM c""")
-def cue_pads(spark, sf_dir):
-    rows = structure.section_labels(sections(spark, sf_dir), ["track"])
-    at = lambda *labels: F.when(F.col("label").isin(*labels), F.col("idx"))
-    pads = rows.groupBy("track").agg(F.min(at("drop")).alias("drop"), F.min(at("breakdown")).alias("breakdown"), F.max(at("outro")).alias("outro"), F.max(at("build")).alias("buildup"), F.coalesce(F.min(at("drop", "steady")), F.lit(0)).alias("loop-in"))
-    return pads.unpivot("track", ["drop", "breakdown", "outro", "buildup", "loop-in"], "role", "idx").where("idx is not null")
-
-
-@query("SELECT o_custkey AS track, o_orderkey AS start, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - o_orderkey AS length FROM orders QUALIFY lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NOT NULL")
-def section_spans(spark, sf_dir):
-    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), F.col("o_orderkey").alias("start"), (after - F.col("o_orderkey")).alias("length")).where("length is not null")
-
-
-@query("SELECT o_custkey * 1000000 + row_number() OVER w AS entry, o_orderkey, coalesce(lead(o_custkey * 1000000 + 1) OVER w + row_number() OVER w, 0) AS next_entry FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
-def playlist_linked_list(spark, sf_dir):
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    rows = _t(spark, sf_dir, "orders").withColumn("entry", F.col("o_custkey") * 1000000 + F.row_number().over(w))
-    return rows.select("entry", "o_orderkey", F.coalesce(F.lead("entry").over(w), F.lit(0)).alias("next_entry"))
-
-
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 5 END AS kind, xor(203 + o_orderkey % 19, (o_orderkey % 256)::BIGINT) AS masked FROM orders")
-def phrase_kind_mask(spark, sf_dir):
-    kind = F.when(F.col("o_orderstatus") == "O", 1).when(F.col("o_orderstatus") == "P", 2).otherwise(5)
-    return _t(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), (203 + F.col("o_orderkey") % 19).bitwiseXOR(F.col("o_orderkey") % 256).alias("masked"))
-
-
 # ---- collections ----
-@query("WITH f AS (SELECT p_type AS value, min(p_partkey) AS p FROM part WHERE p_type <> '' GROUP BY 1) SELECT value, (row_number() OVER (ORDER BY p) - 1)::INT AS code FROM f")
-def dictionary_encode(spark, sf_dir):
-    return naming.dictionary(_t(spark, sf_dir, "part"), "p_partkey", "p_type").withColumnRenamed("p_type", "value")
-
-
-@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 12 AND p_retailprice >= 1 AND p_retailprice < 1000 THEN lpad(round(p_retailprice)::INT::VARCHAR, 3, '0') || '_' || lpad(p_size::VARCHAR, 2, '0') || 'A_' || p_name || '.wav' END AS name FROM part")
-def target_name(spark, sf_dir):
-    camelot = F.concat(F.col("p_size").cast("string"), F.lit("A"))
-    return _t(spark, sf_dir, "part").select("p_partkey", naming.target_name(F.col("p_retailprice"), camelot, F.col("p_name"), F.lit(".wav")).alias("name"))
-
-
-@query("SELECT p_partkey, p_name AS name FROM part")
-def strip_prefix(spark, sf_dir):
-    named = F.concat(F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit("_08A_"), F.col("p_name"))
-    return _t(spark, sf_dir, "part").select("p_partkey", naming.strip_prefix(named).alias("name"))
-
-
-@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS artist, substr(p_name, strpos(p_name, ' ') + 1) AS title FROM part WHERE strpos(p_name, ' ') > 0")
-def artist_title_split(spark, sf_dir):
-    parts = F.split("p_name", " ", 2)
-    return _t(spark, sf_dir, "part").where(F.contains("p_name", F.lit(" "))).select("p_partkey", parts[0].alias("artist"), parts[1].alias("title"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 44100 * 16 * 2 // 1000 WHEN n_chars > 0 THEN round(octet_length(encode(text)) * 8.0 / n_chars / 1000) ELSE 0 END::BIGINT AS kbps FROM documents")
-def bitrate_case(spark, sf_dir):
-    ext = F.when(F.col("doc_id") % 3 == 0, "wav").otherwise("mp3")
-    return _t(spark, sf_dir, "documents").select("doc_id", naming.bitrate(ext, F.lit(44100), F.lit(2), F.octet_length("text"), F.col("n_chars")).alias("kbps"))
-
-
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def pair_by_stem(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -392,35 +174,4 @@ def missing_reports(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-_ASCII = "SELECT page_id, list_transform(range(1, length(url) + 1), lambda i: ascii(url[i])::BIGINT) AS u FROM pages"
-
-
-@query(f"WITH RECURSIVE p AS ({_ASCII}), h(page_id, u, i, h) AS (SELECT page_id, u, 1, 0::HUGEINT FROM p UNION ALL SELECT page_id, u, i + 1, (((h * 23497 + u[i]) % 4294967296) * 37813 + u[i]) % 4294967296 FROM h WHERE i <= len(u)) SELECT page_id, (h % 200003)::BIGINT AS hash FROM h WHERE i = len(u) + 1")
-def analysis_path_hash(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", naming.path_hash(F.col("url")).alias("hash"))
-
-
-@query("SELECT p_partkey, CASE WHEN length(p_name) <= 126 THEN length(p_name) + 1 ELSE length(p_name) + 4 END::INT AS size, CASE WHEN length(p_name) <= 126 THEN (length(p_name) + 1) * 2 + 1 ELSE 64 END::INT AS lead FROM part")
-def devicesql_length(spark, sf_dir):
-    n = F.length("p_name")
-    return _t(spark, sf_dir, "part").select("p_partkey", F.when(n <= 126, n + 1).otherwise(n + 4).alias("size"), F.when(n <= 126, F.shiftleft(n + 1, 1).bitwiseOR(1)).otherwise(64).alias("lead"))
-
-
-@query("SELECT p_partkey, (p_size % 32 + (p_partkey % 8) * 32 + (p_size % 8) * 256 + (p_partkey % 5) * 2048)::INT AS packed FROM part")
-def column_pack(spark, sf_dir):
-    size, key = F.col("p_size"), F.col("p_partkey").cast("int")
-    return _t(spark, sf_dir, "part").select("p_partkey", naming.packed_column(size % 32, key % 8, size % 8, key % 5).alias("packed"))
-
-
-@query("WITH RECURSIVE e AS (SELECT n_nationkey + 100 AS id, n_regionkey AS parent, n_name AS title FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region), p(id, title, path, depth) AS (SELECT id, title, title || ';', 0 FROM e WHERE parent IS NULL UNION ALL SELECT e.id, e.title, p.path || e.title || ';', depth + 1 FROM e JOIN p ON e.parent = p.id) SELECT id, path, depth FROM p")
-def playlist_path_recursive(spark, sf_dir):
-    nation = _t(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"), F.col("n_name").alias("title"))
-    region = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"), F.col("r_name").alias("title"))
-    nation.unionByName(region).createOrReplaceTempView("playlist_edges")
-    return spark.sql("""WITH RECURSIVE p(id, title, path, depth) AS (SELECT id, title, title || ';', 0 FROM playlist_edges WHERE parent IS NULL
-        UNION ALL SELECT e.id, e.title, p.path || e.title || ';', depth + 1 FROM playlist_edges e JOIN p ON e.parent = p.id) SELECT id, path, depth FROM p""")
-
-
-@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1")
-def constraint_violations(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).where("n > 1")
+from . import collection, exports, sections, signal, spectra  # noqa: E402, F401  the other queries enter the registry
