@@ -1,16 +1,19 @@
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 from cadenza.operators import naming, onset, spectrum, tempo
-from cadenza.plans.analysis import analyze, synthetic
+from cadenza.plans.analysis import analyze, selftest, synthetic
 from cadenza.queries import catalogue
-from cadenza.sources.audio import decode_wav, encode_wav, excerpt, read_wav
+from cadenza.sources.audio import SCHEMA, click_train, decode_wav, encode_wav, excerpt, read_wav
+from cadenza.sources.audio import tracks as as_tracks
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels"]
 
 
 @pytest.fixture(scope="module")
@@ -35,12 +38,39 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_self_test_tempi(spark):
-    rows = analyze(synthetic(spark, [128.0, 150.0, 174.0, 127.5])).collect()
+    tempi = [128.0, 150.0, 174.0, 127.5]
+    rows = {r.path: r for r in analyze(synthetic(spark, tempi, 60)).collect()}
     assert len(rows) == 4
-    for row in rows:
-        bpm = float(row.path.split("-")[1])
-        assert abs(row.bpm - bpm) <= 0.005 * bpm
-        assert ("non-integer-tempo" in row.codes) == (bpm == 127.5)
+    for bpm in tempi:
+        r = rows[f"click-{bpm:g}"]
+        codes = {f.code for f in r.findings}
+        assert abs(r.tempo.bpm_measured - bpm) < 0.1 and r.tempo.bpm == math.floor(r.tempo.bpm_measured + 0.5)
+        assert ("non-integer-tempo" in codes) == (bpm == 127.5)
+        assert len(r.bands) == 8 and len(r.key.ranked) == 24 and r.error is None
+    clean = rows["click-150"].tempo
+    assert clean.grid.matched_fraction > 0.9 and clean.grid.pulse_ratio > 2 and clean.stability.interquartile_range_bpm < 1
+    checked = selftest(spark, [174.0, 200.0], 45).collect()
+    assert [r.passed for r in checked] == [True, True]
+
+
+def test_every_track_has_its_own_rate(spark):
+    tracks = as_tracks(spark, {"a": click_train(128, 60, 48000)}, 48000).unionByName(as_tracks(spark, {"b": click_train(128, 60)}))
+    rows = {r.path: r for r in analyze(tracks).collect()}
+    assert rows["a"].tempo.bpm == rows["b"].tempo.bpm == 128 and rows["a"].source.sample_rate == 48000
+    assert rows["a"].settings.frame_rate == 93.75
+
+
+def test_short_silent_and_missing_tracks(spark):
+    silent = np.zeros(40 * 44100, np.float32)
+    tracks = as_tracks(spark, {"short": click_train(128, 10), "silent": silent, "lead": np.concatenate([np.zeros(22050, np.float32), click_train(140, 45)])})
+    tracks = tracks.unionByName(spark.createDataFrame([("lost", None, None, None, "not a WAV file")], SCHEMA))
+    rows = {r.path: r for r in analyze(tracks).collect()}
+    assert "30 seconds" in rows["short"].error and rows["lost"].error == "not a WAV file" and rows["short"].findings is None
+    assert {"no-candidate", "flat-chroma"} <= {f.code for f in rows["silent"].findings} and rows["silent"].tempo.bpm is None
+    assert rows["lead"].source.lead_in_seconds == pytest.approx(0.5, abs=0.011) and "lead-in-trimmed" in {f.code for f in rows["lead"].findings}
+    assert rows["lead"].tempo.bpm == 140
+    severities = [f.severity for f in rows["lead"].findings]
+    assert severities == sorted(severities, reverse=True)
 
 
 def test_wav_round_trip_and_errors(spark, tmp_path):
@@ -61,9 +91,9 @@ def test_camelot_and_names(spark):
     cases = [(0, False, "8B"), (9, True, "8A"), (11, False, "1B"), (6, True, "11A"), (3, False, "5B")]
     df = spark.createDataFrame(cases, "t int, m boolean, want string")
     assert all(r.got == r.want for r in df.select(spectrum.camelot(F.col("t"), F.col("m")).alias("got"), "want").collect())
-    names = spark.createDataFrame([(127.6, "8A"), (0.5, "8A"), (1000.0, "8A"), (90.0, "13A")], "bpm double, key string")
-    got = [r[0] for r in names.select(naming.target_name(F.col("bpm"), F.col("key"), F.lit("x"), F.lit(".wav"))).collect()]
-    assert got == ["128_08A_x.wav", None, None, None]
+    names = spark.createDataFrame([(127.6, "8A", "x.wav"), (0.5, "8A", "x.wav"), (1000.0, "8A", "x.wav"), (90.0, "13A", "x.wav"), (127.5, "08B", "128_08A_a.b.mp3"), (99.0, "1C", "x"), (99.4, "1A", "x"), (None, "1A", "x")], "bpm double, key string, name string")
+    got = [r[0] for r in names.select(naming.target_name(F.col("bpm"), F.col("key"), F.col("name"))).collect()]
+    assert got == ["128_08A_x.wav", None, None, None, "128_08B_a.b.mp3", None, "099_01A_x", None]
 
 
 def test_profiles_rank_their_own_key_first(spark):
