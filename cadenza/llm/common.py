@@ -12,8 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_stashes: list[tuple[SparkSession, str]] = []
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_stashes: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +36,9 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cadenza/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _stashes.append((spark, path))
+    _stashes.append((spark, path, None))
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    out.stashed_at = path
     return out
 
 
@@ -51,20 +50,20 @@ def stash_buckets(df: DataFrame, column: str) -> DataFrame:
     spark, name = df.sparkSession, f"cadenza_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/cadenza/{name}"
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), column).saveAsTable(name)
-    _stashes.append((spark, path))
+    _stashes.append((spark, path, name))
     return spark.table(name)
 
 
 def spent(*frames: DataFrame | None) -> None:
     """Deletes the folders of stash()'s frames that no later plan reads."""
     for df in frames:
-        if df is not None and id(df) in _paths:
-            discard(df.sparkSession, _paths.pop(id(df))[1])
+        if path := getattr(df, "stashed_at", None):
+            discard(df.sparkSession, path)
 
 
 def stash_folder(spark: SparkSession, path: str) -> str:
     """path, which goes when the process ends."""
-    _stashes.append((spark, path))
+    _stashes.append((spark, path, None))
     return path
 
 
@@ -75,24 +74,31 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _drop_stashes() -> None:
-    for spark, path in _stashes:
+    for spark, path, table in _stashes:
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             discard(spark, path)
         except Exception:  # the session may be gone; its folder is then the cluster's to clear
             return
 
 
+def give_back() -> None:
+    """Returns memory that this process no longer uses to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def lean(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """rows for mapInArrow, after which the worker gives back the memory it no longer uses: workers stay for later
     tasks, and an executor's idle ones would otherwise keep their peaks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return run
 

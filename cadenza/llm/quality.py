@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, fresh, lean, picked, spent, stash
+from .common import as_bytes, chunks, fresh, give_back, lean, picked, spent, stash
 from .shingles import SPACES, Words, splitmix
 
 BUCKETS = 1 << 17
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _CHUNK = 1 << 19
+#: Parts in which the fitted rows come to the driver.
+_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key")
     texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     texts = texts.groupBy("rank", "label", "key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("rank", "label", F.col("one.text").alias("text"))
-    rows = stash(texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary"))
+    # dealt evenly, so that a partition's part that comes to the driver at once is small at any size
+    rows = stash(texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary").repartition(_PARTS, "rank", "ids"))
     sizes = rows.select("rank", "label", "ids", (F.length("ids") / 4).cast("long").alias("n")).orderBy("rank", "label", "ids").select("rank", "n").collect()
     total, cut = 0, None
     for r in sizes:
@@ -122,7 +125,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     taken = [(r.rank, r.label, bytes(r.ids), np.frombuffer(r.shares, np.float32)) for r in rows.where(F.col("rank") <= cut).toLocalIterator()] if cut is not None else []
     spent(rows)
     taken.sort(key=lambda r: r[:3])
-    return sgd([(int(label > 0), np.frombuffer(ids, np.int32), shares) for _, label, ids, shares in taken])
+    model = sgd([(int(label > 0), np.frombuffer(ids, np.int32), shares) for _, label, ids, shares in taken])
+    del taken
+    give_back()
+    return model
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
