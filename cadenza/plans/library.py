@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.exports import analysis_files, device, engine, entities, figures, settings
+from cadenza.exports import analysis_files, device, engine, figures, settings
 from cadenza.operators import collection, naming
 from cadenza.sources import audio, mp3
 
@@ -153,10 +153,20 @@ def _local(path: str) -> str:
     return unquote(urlparse(path).path) if path.startswith("file:") else path
 
 
-def with_device_fields(tracks: DataFrame, date: str) -> DataFrame:
-    """tracks with the ids of their names, rounded numbers and the paths of their analysis files."""
-    ids = entities.with_ids(tracks.withColumn("key", F.col("key_camelot")), "position", ["artist", "genre", "album", "key"])
-    return ids.withColumns({
+def device_names(tracks: DataFrame) -> dict[str, list[str]]:
+    """The artists, genres, albums and keys of a device's tracks, each as it first appears: what one device lists."""
+    columns = {"artist": "artist", "genre": "genre", "album": "album", "key": "key_camelot"}
+    light = tracks.select("position", *columns.values())
+    return {kind: [r[0] for r in light.where(F.col(c) != "").groupBy(c).agg(F.min("position").alias("first")).orderBy("first").collect()] for kind, c in columns.items()}
+
+
+def with_device_fields(tracks: DataFrame, names: dict[str, list[str]], date: str) -> DataFrame:
+    """tracks with the ids of their names, from 1 and 0 for none, rounded numbers and the paths of their analysis files."""
+    rows = tracks.withColumn("key", F.col("key_camelot"))
+    for kind, own in names.items():
+        ids = tracks.sparkSession.createDataFrame([(name, i) for i, name in enumerate(own, 1)], f"{kind} string, {kind}_id int")
+        rows = rows.join(F.broadcast(ids), kind, "left").withColumn(f"{kind}_id", F.coalesce(f"{kind}_id", F.lit(0)))
+    return rows.withColumns({
         "id": F.col("position") + 1, "centi_bpm": collection.centi_bpm(F.col("bpm")), "duration_rounded": collection.duration_rounded(F.col("duration_seconds")),
         "analyze_path": F.concat(naming.analysis_folder(F.col("device_path")), F.lit("/ANLZ0000.DAT")), "date": F.lit(date),
     })
@@ -182,12 +192,11 @@ def device_files(tracks: DataFrame, date: str, playlists: list[tuple[str, list[i
     """
     if target not in ("all", "pages", "sql"):
         raise ValueError(f"no such target: {target}")
-    spark, rows = tracks.sparkSession, with_device_fields(with_seek_tables(tracks), date)
-    rows = rows.persist()
+    spark, names = tracks.sparkSession, device_names(tracks)
+    rows = with_device_fields(with_seek_tables(tracks), names, date)
     out = []
     if target != "sql":
         out.append(rows.mapInArrow(_analysis, FILES))
-    names = {c: [r[0] for r in rows.where(F.col(f"{c}_id") > 0).groupBy(c, f"{c}_id").count().orderBy(f"{c}_id").select(c).collect()] for c in ("artist", "genre", "album", "key")}  # names of one device
     out.append(rows.repartition(1).sortWithinPartitions("position").mapInArrow(_databases(names, playlists, date, target), FILES))
     if target != "sql":
         fixed = [(path, bytearray(data), (1 << 40) + 2 + i) for i, (path, data) in enumerate(settings.files(**choices).items())]
