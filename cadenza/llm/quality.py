@@ -16,8 +16,6 @@ from .shingles import SPACES, Words, splitmix
 BUCKETS = 1 << 17
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _CHUNK = 1 << 19
-#: Parts in which the fitted rows come to the driver.
-_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -97,6 +95,22 @@ def sgd(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: int
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _stretches(sizes: list[tuple[int, int]], most: int, each: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of ascending ranks that hold about `each` shares, as far as `most` shares reach; equal ranks stay together."""
+    out: list[tuple[int, int]] = []
+    held = total = 0
+    for rank, n in sizes:
+        total += n
+        if total > most:
+            return [r for r in out if r[1] < rank] if out and out[-1][1] == rank else out
+        if out and (held + n <= each or out[-1][1] == rank):
+            out[-1], held = (out[-1][0], rank), held + n
+        else:
+            out.append((rank, rank))
+            held = n
+    return out
+
+
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 6000, most_shares: int = 16_000_000) -> Model:
     """The model fitted on at most most_rows labelled rows, the first in the order of their keys' hash.
 
@@ -112,17 +126,12 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = picked(df, key=key, text=text).join(F.broadcast(chosen), "key")
     texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     texts = texts.groupBy("rank", "label", "key").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")).select("rank", "label", F.col("one.text").alias("text"))
-    # dealt evenly, so that a partition's part that comes to the driver at once is small at any size
-    rows = stash(texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary").repartition(_PARTS, "rank", "ids"))
-    sizes = rows.select("rank", "label", "ids", (F.length("ids") / 4).cast("long").alias("n")).orderBy("rank", "label", "ids").select("rank", "n").collect()
-    total, cut = 0, None
-    for r in sizes:
-        total += r.n
-        if total > most_shares:
-            break
-        cut = r.rank
-    # partition by partition, as arrays at once: the driver never holds the rows twice
-    taken = [(r.rank, r.label, bytes(r.ids), np.frombuffer(r.shares, np.float32)) for r in rows.where(F.col("rank") <= cut).toLocalIterator()] if cut is not None else []
+    rows = stash(texts.mapInArrow(lean(_features), "rank long, label int, ids binary, shares binary"))
+    sizes = rows.select("rank", (F.length("ids") / 4).cast("long").alias("n")).orderBy("rank").collect()
+    taken = []
+    for low, high in _stretches([(r.rank, r.n) for r in sizes], most_shares):
+        # a few MB at a time, as arrays at once: the driver never holds the rows twice
+        taken += [(r.rank, r.label, bytes(r.ids), np.frombuffer(r.shares, np.float32)) for r in rows.where(F.col("rank").between(low, high)).collect()]
     spent(rows)
     taken.sort(key=lambda r: r[:3])
     model = sgd([(int(label > 0), np.frombuffer(ids, np.int32), shares) for _, label, ids, shares in taken])
