@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 CROSSOVERS = (200.0, 2000.0, 10_000.0)
 PREVIEW, MONO_PREVIEW, DETAIL_RATE = 1200, 400, 150
 _BLOCK = 64
+#: Samples that the filters run over at once.
+_STRETCH = 1 << 17
 
 
-def _decayed_sums(u: np.ndarray, b: float) -> np.ndarray:
-    """s[i] = u[i] + b * s[i - 1]: blocks by one triangular product, then the blocks' ends by the same rule."""
+def _decayed_sums(u: np.ndarray, b: float, before: float = 0.0) -> np.ndarray:
+    """s[i] = u[i] + b * s[i - 1] with s[-1] = before: blocks by one triangular product, then the blocks' ends by the
+    same rule."""
     count = -(-len(u) // _BLOCK)
     blocks = np.zeros((count, _BLOCK))
     blocks.ravel()[: len(u)] = u
+    blocks[0, 0] += b * before
     age = np.subtract.outer(np.arange(_BLOCK), np.arange(_BLOCK))
     out = blocks @ np.where(age >= 0, b ** np.maximum(age, 0.0), 0.0).T
     if count > 1:
@@ -33,31 +37,48 @@ def _half_up(x: np.ndarray) -> np.ndarray:
 
 
 def render(samples: np.ndarray, rate: int, columns: int) -> np.ndarray:
-    """(columns, 4) of height 0-31 and low, mid, high 0-7.
+    """(columns, 4) of height 0-31 and low, mid, high 0-7; see renders."""
+    return renders(samples, rate, (columns,))[0]
+
+
+def renders(samples: np.ndarray, rate: int, counts: tuple[int, ...]) -> list[np.ndarray]:
+    """(columns, 4) of height 0-31 and low, mid, high 0-7, for several numbers of columns in one pass.
 
     Heights are peaks against the 99th percentile of the peaks that are not 0, so one stray transient does not
-    flatten the rest. Bands are energies between one-pole low-passes, against the column's loudest band.
+    flatten the rest. Bands are energies between one-pole low-passes, against the column's loudest band. The filters
+    run over _STRETCH samples at a time, so beside a track only a few of those are in memory.
     """
-    n, columns = len(samples), max(1, columns)
-    if not n:
-        return np.zeros((columns, 4), np.uint8)
-    place = np.arange(n, dtype=np.int64) * columns // n
-    peaks = np.zeros(columns, np.float32)
-    np.maximum.at(peaks, place, np.abs(samples))
-    x = samples.astype(np.float64)
-    below, energy = np.zeros(n), []
-    for hz in CROSSOVERS:
-        keep = float(np.exp(-2 * np.pi * hz / rate))
-        passed = _decayed_sums(x * (1 - keep), keep)
-        energy.append(np.bincount(place, (passed - below) ** 2, columns))
-        below = passed
-    energy[2] += np.bincount(place, (x - below) ** 2, columns)
-    loud = np.sort(peaks[peaks > 0])
-    top = np.float32(max(1e-6, loud[min(len(loud) * 99 // 100, len(loud) - 1)] if len(loud) else 1.0))
-    bands = np.stack(energy, axis=1)
-    most = bands.max(axis=1, keepdims=True)
-    levels = np.divide(bands, most, out=np.zeros_like(bands), where=most > 0)
-    return np.concatenate([_half_up(np.clip(peaks / top, 0, 1) * 31)[:, None], _half_up(np.clip(levels, 0, 1) * 7)], axis=1)
+    n, counts = len(samples), [max(1, c) for c in counts]
+    found = [(np.zeros(c, np.float32), np.zeros((3, c))) for c in counts]
+    firsts = [-(-np.arange(c, dtype=np.int64) * n // c) for c in counts]  # a column's first sample
+    states = [0.0] * len(CROSSOVERS)
+    for at in range(0, n, _STRETCH):
+        raw = samples[at : at + _STRETCH]
+        x, below, bands = raw.astype(np.float64), 0.0, []
+        for i, hz in enumerate(CROSSOVERS):
+            keep = float(np.exp(-2 * np.pi * hz / rate))
+            passed = _decayed_sums(x * (1 - keep), keep, states[i])
+            states[i] = passed[-1]
+            bands.append((passed - below) ** 2)
+            below = passed
+        bands[2] += (x - below) ** 2
+        loud = np.abs(raw)
+        for (peaks, energy), first, c in zip(found, firsts, counts, strict=True):
+            own = np.arange(at * c // n, (at + len(raw) - 1) * c // n + 1)
+            starts = np.maximum(first[own] - at, 0)
+            some = np.diff(np.r_[starts, len(raw)]) > 0  # more columns than samples leave some without any
+            own, starts = own[some], starts[some]
+            peaks[own] = np.maximum(peaks[own], np.maximum.reduceat(loud, starts))
+            for band, values in zip(energy, bands, strict=True):
+                band[own] += np.add.reduceat(values, starts)
+    out = []
+    for peaks, energy in found:
+        loud = np.sort(peaks[peaks > 0])
+        top = np.float32(max(1e-6, loud[min(len(loud) * 99 // 100, len(loud) - 1)] if len(loud) else 1.0))
+        most = energy.max(axis=0, keepdims=True)
+        levels = np.divide(energy, most, out=np.zeros_like(energy), where=most > 0).T
+        out.append(np.concatenate([_half_up(np.clip(peaks / top, 0, 1) * 31)[:, None], _half_up(np.clip(levels, 0, 1) * 7)], axis=1))
+    return out
 
 
 def pack(columns: np.ndarray) -> bytes:

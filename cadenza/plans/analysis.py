@@ -122,14 +122,14 @@ def measure(path: str, rate: int, channels: int, samples: np.ndarray, o: Options
     slots = np.stack([np.bincount(slot, energies[:, k].astype(np.float64)) for k in range(o.bands)], axis=1) / held[:, None]
     best = [tempo.best_bpm(c, frame_rate, mine) for c in curves]
     seconds = len(x) / rate
-    wave = lambda n: waveform.pack(waveform.render(x, rate, n))
+    preview, detail = map(waveform.pack, waveform.renders(x, rate, (waveform.PREVIEW, int(seconds * waveform.DETAIL_RATE + 0.5))))
     return row | {
         "tuning_cents": float(cents), "chroma": (notes / notes.sum() if notes.sum() > 0 else notes).tolist(), "average_spectrum": amplitude.tolist(),
         "slots": slots.tolist(), "novelty": broad.tolist(), "tempo": tempo.analyse(broad, low, frame_rate, mine),
         "bands": [{"band": i, "low_hz": a, "high_hz": b, "bpm": bpm, "salience": s} for (i, a, b, *_), (bpm, s) in zip(edges, best, strict=True)],
         "energy": energetic, "spectrum": summarised(hz, amplitude),
-        "preview": {"columns_per_second": waveform.PREVIEW / seconds, "columns": wave(waveform.PREVIEW)},
-        "detail": {"columns_per_second": float(waveform.DETAIL_RATE), "columns": wave(max(1, int(seconds * waveform.DETAIL_RATE + 0.5)))},
+        "preview": {"columns_per_second": waveform.PREVIEW / seconds, "columns": preview},
+        "detail": {"columns_per_second": float(waveform.DETAIL_RATE), "columns": detail},
     }
 
 
