@@ -162,7 +162,7 @@ SPLIT_LEAST = 20_000
 def split_join(rows: DataFrame, table: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
     """rows joined with table, which has one row a key; a key with many of the rows is split over several tasks.
 
-    rows is a stash. Keys with more than an even partition's share of it, at most as many as there are partitions
+    rows is a stash or a filter of one, since it is read up to four times. Keys with more than an even partition's share of it, at most as many as there are partitions
     and so safe to broadcast, are joined apart: their rows are salted and their one row of table is repeated for each
     salt. All other keys are joined as they are, so a table in buckets stays where it is.
     """

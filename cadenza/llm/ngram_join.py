@@ -442,7 +442,9 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     4. Star rounds: in each index list every set is compared with one central set alone (first that with the fewest
        tokens of its own, and the best match becomes a set's leader; then one of `centres` random ones, so that a
        group without a middle is tried from several sides). Links found join sets to components, and lists of one
-       component are left out from then on. Pairs that the parity maps of step 5 rule out are not compared.
+       component are left out from then on. Pairs that the parity maps of step 5 rule out are not compared. Each posting
+       meets its list's one centre, a join that Spark's own skew handling splits where a list is very long; a centre
+       that very many sets are compared with is split by split_join.
     5. The rest exactly: index lists that still span several components are joined, only across components. Lists
        are cut into blocks by set size, and a posting visits only the blocks that its own position can still
        reach (index-level skipping); positions bound what is left of both sets, and
@@ -459,7 +461,8 @@ def shingle_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.join(smallest, "component").select("sig", "component_id")
     lone = rows.where("sig is null").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
-    return rows.where("sig is not null").join(of, "sig").select("doc", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+    found = split_join(rows.where("sig is not null"), of, ["sig"])  # a class may hold a third of all rows
+    return found.select("doc", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
 
 
 def copy_marks(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, rounds: int = 3, centres: int = 8) -> DataFrame:
@@ -472,7 +475,7 @@ def copy_marks(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     named = _named(classes, _class_labels(sets, percent, rounds, centres))
     lead = named.groupBy("component").agg(F.min("lead").alias("lead"), F.sum("rows").alias("rows")).where("rows > 1")
     of = named.select("sig", "component").join(lead, "component").select("sig", "lead")
-    found = rows.where("sig is not null").join(of, "sig")
+    found = split_join(rows.where("sig is not null"), of, ["sig"])
     kept = F.col("doc").eqNullSafe(F.col("lead.doc")) & (F.col("mark") == F.col("lead.mark"))
     return stash(found.select("doc", "mark", kept.alias("kept")).groupBy("doc", "mark", "kept").agg(F.count("*").alias("n")))
 

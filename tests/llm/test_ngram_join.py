@@ -68,6 +68,7 @@ def test_large_near_group_in_parts_with_hot_centres(spark, monkeypatch):
     monkeypatch.setattr(common, "SPLIT_LEAST", 10)  # every centre is hot
     rng = random.Random(3)
     texts = _near_group(rng, "a", 220) + _near_group(rng, "b", 30) + [f"lone text number {i} with words of its own w{i} v{i} u{i}" for i in range(40)]
+    texts += texts[:1] * 40  # and so is this class of copies
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
