@@ -310,6 +310,14 @@ def _group(parts: list[bytes], heads: list[tuple[int, int, int, int]], depths: l
     return out
 
 
+def _stored(x: np.ndarray, bits: int) -> bytes:
+    """PCM [channel, sample] as the checksum reads it: interleaved, in whole bytes, the low one first."""
+    if bits <= 16:
+        return x.T.astype(np.int8 if bits <= 8 else "<i2").tobytes()
+    wide = np.ascontiguousarray(x.T.astype("<i4")).view(np.uint8).reshape(-1, 4)
+    return (wide if bits > 24 else np.ascontiguousarray(wide[:, :3])).tobytes()
+
+
 def decode(streams: list[bytes]) -> Iterator[tuple[Info, list[int], list[np.ndarray]]]:
     """(information, first sample of each block, PCM [channel, sample] of each block) of every stream.
 
@@ -344,9 +352,9 @@ def decode(streams: list[bytes]) -> Iterator[tuple[Info, list[int], list[np.ndar
         if info.samples and offsets[-1] != info.samples:
             raise FlacError("samples are missing")
         if info.md5 != bytes(16):
-            wide, digest = (info.bits + 7) // 8, hashlib.md5()
+            digest = hashlib.md5()
             for x in own:
-                digest.update(np.ascontiguousarray(np.ascontiguousarray(x.T.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes())
+                digest.update(_stored(x, info.bits))
             if digest.digest() != info.md5:
                 raise FlacError("bad MD5 of the samples")
         yield info, offsets[:-1], own
