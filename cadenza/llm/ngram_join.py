@@ -16,7 +16,7 @@ from .shingles import shingle_sets
 
 _CHUNK = 1 << 19
 _HEAVY_SHARE, _HEAVY_LEAST = 0.01, 64
-#: Bytes of tokens that the task of a set reducer orders at once.
+#: Bytes of tokens that a reducer's task works on at once.
 _AT_ONCE = 1 << 26
 
 
@@ -61,10 +61,11 @@ def _classes(width: int, marked: bool = False):
 def _token_blocks(width: int, keys: list[int], subs: int, heavy: np.ndarray):
     """Per task, set and range of token values: the set's tokens in that range, as one row a chunk and range.
 
-    Sets are sent once a task, however many copies it has. Heavy tokens go along in rows of their own (negative ranges),
-    to the reducer of their set, since nothing needs to be counted about them.
+    Each reducer has `subs` neighbouring ranges. Sets are sent once a task, however many copies it has. Heavy tokens
+    go along in rows of their own (negative ranges), to the reducer of their set, since nothing needs to be counted
+    about them.
     """
-    ranges = len(keys)
+    ranges = len(keys) * subs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -91,8 +92,8 @@ def _token_blocks(width: int, keys: list[int], subs: int, heavy: np.ndarray):
                 order = np.argsort(part, kind="stable")
                 part, owner, tokens = part[order], owner[order], tokens[order]
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
-                for r in range(ranges):
-                    yield from _packed(r, keys[r], sigs, owner[cuts[r] : cuts[r + 1]], tokens[cuts[r] : cuts[r + 1]])
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    yield from _packed(r, keys[r // subs], sigs, owner[cuts[r] : cuts[r + 1]], tokens[cuts[r] : cuts[r + 1]])
 
     return rows
 
