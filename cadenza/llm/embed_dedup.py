@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, picked, stash
+from .common import components, picked, split_join, stash
 
 _TILE = 4096
 #: Rows of a tile that are multiplied with another tile at once.
@@ -152,6 +152,6 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     named = classes.join(counts, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least_vec").alias("component_id"))
     named = named.join(smallest, "component").select("bytes", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    out = good.join(named, "bytes").select("vec", "n_links", "component_id")
+    out = split_join(good, named, ["bytes"]).select("vec", "n_links", "component_id")  # a class may hold a third of all rows
     out = out.unionByName(rows.where("bytes is null").select("vec", F.lit(0).cast("long").alias("n_links"), F.col("vec").alias("component_id")))
     return out.select("vec", "n_links", "component_id", F.coalesce(F.col("vec") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -18,12 +18,18 @@ _LEAST = -(2**63)
 
 
 def _line_rows(least: int):
+    """The keyed lines of each document and text; rows that repeat both are looked at once a task."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             high, low, docs, texts, positions = [], [], [], [], []
             for doc, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "text_hash", "text")), strict=True):
+                if (doc, text_hash) in sent:
+                    continue
+                sent.add((doc, text_hash))
                 for i, line in enumerate((text or "").split("\n")):
                     key = line.strip(_STRIP)
                     if len(key) >= least:

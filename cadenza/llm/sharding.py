@@ -44,7 +44,9 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     rows = picked(df, key=key, text=text)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = rows.select("key", size.alias("size"), crc32_of(F.col("text")).alias("crc"))
-    order = ["key", "crc", "size"]
+    # rows that are wholly equal are told apart by their place, so that even those are split over partitions
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    order = ["key", "crc", "size", "place"]
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("nth", T.LongType())])
     placed = stash(ranged.mapInArrow(_running, schema))
