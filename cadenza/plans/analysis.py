@@ -1,8 +1,7 @@
 """From tracks to one report row each.
 
-What reads samples is one narrow pass: a track's reductions leave its task, spectra and samples never do, and nothing
-is shuffled. Sections and cues are windows over the tracks' bars, some hundred rows a track; keys, findings and the
-report itself are columns.
+What reads samples is one narrow pass: a track's reductions leave its task, spectra and samples never do. Keys, cues,
+findings and the report itself are columns over that row, so nothing is shuffled and a track is measured once.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from cadenza.operators.stft import band_frames, frames
 from cadenza.sources.audio import click_train, lead_in_seconds
 from cadenza.sources.audio import tracks as as_tracks
 
+from . import structure as sections
 from . import tempo
 from .options import Options
 
@@ -40,10 +40,12 @@ TEMPO = f"""struct<bpm:double,bpm_measured:double,salience:double,octave_shift:s
  curve:struct<bpm:array<double>,comb:array<double>,fourier:array<double>>>""".replace("\n ", "")
 _ENERGY = "struct<score:double,band:string,centre_bpm:double,brightness:double,crest_db:double,onset_density:double,high_share:double>"
 _SPECTRUM = "struct<peak_hz:double,centroid_hz:double,rolloff_95_hz:double,high_cutoff_hz:double,low_share:double,mid_share:double,high_share:double>"
+_SECTIONS = "array<struct<idx:int,label:string,confidence:double,start_seconds:double,end_seconds:double,start_bar:int,bars:int,low_db:double,broadband_db:double,rise_db:double>>"
+_BARS = f"struct<bar_starts:array<double>,bar_count:int,boundaries:array<struct<bar:int,time_seconds:double,strength:double>>,sections:{_SECTIONS}>"
 _WAVES = "struct<columns_per_second:double,columns:binary>"
 MEASURES = f"""path string, sample_rate int, channels int, duration_seconds double, lead_in_seconds double, analysed_seconds double, frame_rate double,
- tuning_cents double, chroma array<double>, average_spectrum array<double>, slots array<array<double>>, novelty array<float>, tempo {TEMPO},
- bands array<struct<band:int,low_hz:double,high_hz:double,bpm:double,salience:double>>, energy {_ENERGY}, spectrum {_SPECTRUM}, preview {_WAVES}, detail {_WAVES}, error string""".replace("\n ", " ")
+ tuning_cents double, chroma array<double>, average_spectrum array<double>, novelty array<float>, tempo {TEMPO}, bars {_BARS},
+ band_tempi array<struct<band:int,low_hz:double,high_hz:double,bpm:double,salience:double>>, energy {_ENERGY}, spectrum {_SPECTRUM}, preview {_WAVES}, detail {_WAVES}, error string""".replace("\n ", " ")
 
 
 def _novelty(energies: np.ndarray, rate: float, o: Options) -> np.ndarray:
@@ -120,13 +122,14 @@ def measure(path: str, rate: int, channels: int, samples: np.ndarray, o: Options
     slot = np.floor(np.arange(count) / max(1.0, frame_rate * structure.SLOT_SECONDS)).astype(np.int64)
     held = np.maximum(np.bincount(slot), 1)
     slots = np.stack([np.bincount(slot, energies[:, k].astype(np.float64)) for k in range(o.bands)], axis=1) / held[:, None]
+    record = tempo.analyse(broad, low, frame_rate, mine)
     best = [tempo.best_bpm(c, frame_rate, mine) for c in curves]
     seconds = len(x) / rate
     preview, detail = map(waveform.pack, waveform.renders(x, rate, (waveform.PREVIEW, int(seconds * waveform.DETAIL_RATE + 0.5))))
     return row | {
         "tuning_cents": float(cents), "chroma": (notes / notes.sum() if notes.sum() > 0 else notes).tolist(), "average_spectrum": amplitude.tolist(),
-        "slots": slots.tolist(), "novelty": broad.tolist(), "tempo": tempo.analyse(broad, low, frame_rate, mine),
-        "bands": [{"band": i, "low_hz": a, "high_hz": b, "bpm": bpm, "salience": s} for (i, a, b, *_), (bpm, s) in zip(edges, best, strict=True)],
+        "novelty": broad.tolist(), "tempo": record, "bars": sections.analyse(slots, sections.bar_starts(record["grid"]["beats_seconds"], record["bar"]["phase"])) if record["grid"] else None,
+        "band_tempi": [{"band": i, "low_hz": a, "high_hz": b, "bpm": bpm, "salience": s} for (i, a, b, *_), (bpm, s) in zip(edges, best, strict=True)],
         "energy": energetic, "spectrum": summarised(hz, amplitude),
         "preview": {"columns_per_second": waveform.PREVIEW / seconds, "columns": preview},
         "detail": {"columns_per_second": float(waveform.DETAIL_RATE), "columns": detail},
@@ -164,38 +167,24 @@ def with_key(df: DataFrame, profile: str) -> DataFrame:
     return df.withColumn("ranked_", spectrum.ranked_keys(F.col("chroma"), profile)).withColumn("key", F.when(F.col("chroma").isNotNull(), key)).drop("ranked_")
 
 
-def structures(found: DataFrame, options: Options = Options()) -> DataFrame:
-    """(path, structure) of rows of MEASURES: bars from the beat grid, their mean slots, sections and cues."""
-    o, by = options, ["path"]
-    starts = found.where("tempo.grid is not null").select("path", structure.bar_starts(F.col("tempo.grid.beats_seconds"), F.col("tempo.bar.phase")).alias("bar_starts"), F.col("analysed_seconds").alias("duration_seconds"))
-    slots = found.where("tempo.grid is not null").select("path", F.posexplode("slots").alias("slot", "means"))
-    rows = structure.bar_means(slots, structure.bars(starts, by), by, o.bands)
-    count = rows.groupBy("path").agg(F.count("*").cast("int").alias("bar_count"))
-    rows = rows.join(count.where(F.col("bar_count") >= structure.LEAST_BARS), by, "left_semi")
-    edges, sections = structure.segmented(rows, by)
-    at = rows.select("path", "bar", F.col("start_seconds").alias("time_seconds"))
-    edges = edges.join(at, ["path", "bar"]).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("bar", "time_seconds", "strength"))).alias("boundaries"))
-    fields = ["idx", "label", "confidence", "start_seconds", "end_seconds", "start_bar", "bars", "low_db", "broadband_db", "rise_db"]
-    sections = sections.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sections"))
-    whole = starts.join(count, by, "left").join(sections, by, "left").join(edges, by, "left").withColumn("bar_count", F.coalesce("bar_count", F.lit(0)))
-    section = "array<struct<idx:int,label:string,confidence:double,start_seconds:double,end_seconds:double,start_bar:int,bars:int,low_db:double,broadband_db:double,rise_db:double>>"
-    whole = whole.withColumn("sections", F.coalesce(F.col("sections").cast(section), F.expr(f"cast(array() as {section})"))).withColumn("boundaries", F.coalesce("boundaries", F.expr("cast(array() as array<struct<bar:int,time_seconds:double,strength:double>>)")))
-    placed = structure.place_cues(whole, o.memory_offset_bars, o.loop_bars, o.drop_after_fraction)
+def with_structure(df: DataFrame, options: Options = Options()) -> DataFrame:
+    """df, rows of MEASURES, with `structure`: sections, cues, missing pads and boundaries, null without a beat grid."""
+    o = options
+    rows = df.withColumns({"sections": F.col("bars.sections"), "bar_starts": F.col("bars.bar_starts"), "duration_seconds_": F.col("duration_seconds")}).withColumn("duration_seconds", F.col("analysed_seconds"))
+    placed = structure.place_cues(rows, o.memory_offset_bars, o.loop_bars, o.drop_after_fraction).withColumn("duration_seconds", F.col("duration_seconds_"))
     settings = F.struct(*[F.lit(v).alias(k) for k, v in (("phrase_bars", structure.PHRASE_BARS), ("minimum_section_bars", structure.SECTION_BARS), ("memory_offset_bars", o.memory_offset_bars), ("loop_bars", o.loop_bars), ("drop_after_fraction", o.drop_after_fraction))])
-    return placed.select("path", F.struct("sections", "cues", "missing_pads", "boundaries", "drop_rule_relaxed", "bar_count", settings.alias("settings")).alias("structure"))
+    record = F.struct("sections", "cues", "missing_pads", F.col("bars.boundaries").alias("boundaries"), "drop_rule_relaxed", F.col("bars.bar_count").alias("bar_count"), settings.alias("settings"))
+    return placed.withColumn("structure", F.when(F.col("bars").isNotNull(), record)).drop("sections", "bar_starts", "cues", "missing_pads", "drop_rule_relaxed", "duration_seconds_")
 
 
 def analyze(tracks: DataFrame, options: Options = Options()) -> DataFrame:
     """One report row a track of read_audio, by path: tool, version, source, settings, tempo, key, bands, energy,
     spectrum, structure, waveforms, findings and, where nothing could be measured, error.
 
-    Every track is measured at its own sample rate. The measures are persisted, since sections and the report both
-    read them; unpersist with spark.catalog.clearCache() or let the session end.
+    Every track is measured at its own sample rate.
     """
     o = options
-    found = measures(tracks, o).persist()
-    report = found.join(structures(found, o), "path", "left")
-    report = with_key(report, o.profile)
+    report = with_key(with_structure(measures(tracks, o), o), o.profile)
     tempo_found = findings.tempo_findings(F.col("tempo"), o.floor_bpm, o.snap_bpm, o.min_bpm, o.max_bpm)
     opening = findings.opening_findings(F.col("lead_in_seconds"), F.col("energy"))
     listed = findings.merged(opening, tempo_found, findings.key_findings(F.col("key")), F.when(F.col("structure").isNotNull(), findings.structure_findings(F.col("structure"), o.drop_after_fraction)).otherwise(F.expr("cast(array() as array<struct<code:string,severity:string,message:string>>)")))
@@ -207,7 +196,7 @@ def analyze(tracks: DataFrame, options: Options = Options()) -> DataFrame:
     asked = F.struct(*[F.lit(v).alias(k) for k, v in (("min_bpm", o.min_bpm), ("max_bpm", o.max_bpm), ("resolution_bpm", o.resolution), ("pulses", o.pulses), ("penalty", o.penalty), ("integer_snap_bpm", o.snap_bpm))], weighting.alias("weighting"), floor.alias("floor"))
     return report.select(
         "path", F.lit(TOOL).alias("tool"), F.lit(VERSION).alias("version"), source.alias("source"), settings.alias("settings"), F.col("tempo").withField("settings", asked).alias("tempo"),
-        "key", "bands", "energy", "spectrum", "structure", F.struct("preview", "detail").alias("waveforms"), F.when(F.col("error").isNull(), listed).alias("findings"),
+        "key", F.col("band_tempi").alias("bands"), "energy", "spectrum", "structure", F.struct("preview", "detail").alias("waveforms"), F.when(F.col("error").isNull(), listed).alias("findings"),
         "average_spectrum", "novelty", "error",
     )
 

@@ -229,3 +229,24 @@ def test_sections_of_known_bars(spark):
     spans = structure.section_spans(spark.createDataFrame([(0, b) for b in (16, 32, 64, 80, 112)], "track int, bar int"), spark.createDataFrame([(0, 128)], "track int, bar_count int"), ["track"])
     labelled = structure.section_labels(structure.section_measures(levels, spans, ["track"]), ["track"]).orderBy("idx").collect()
     assert [r.label for r in labelled] == ["intro", "build", "drop", "breakdown", "drop", "outro"] and all(0 <= r.confidence <= 1 for r in labelled)
+
+
+def test_numpy_and_columns_find_the_same_sections(spark):
+    from cadenza.plans import structure as plain
+
+    rng = np.random.default_rng(8)
+    for bars in (10, 16, 40, 90):
+        level = np.repeat(rng.choice([0.02, 0.1, 0.5, 0.9], -(-bars // 8)), 8)[:bars, None]
+        slots = np.repeat(level * rng.uniform(0.5, 1, (bars, 8)), 20, axis=0)
+        starts = np.arange(bars + 1) * 2.0 + 0.03
+        energies = plain.bar_energies(slots, starts)
+        rows = [(0, i, float(starts[i]), float(starts[i + 1]), e) for i, e in enumerate(energies.tolist())]
+        df = spark.createDataFrame(rows, "track int, bar int, start_seconds double, end_seconds double, energies array<double>")
+        own = spark.createDataFrame([(0, i, s) for i, s in enumerate(slots.tolist())], "track int, slot int, means array<double>")
+        means = structure.bar_means(own, df.drop("energies"), ["track"], 8).orderBy("bar").collect()
+        assert np.allclose([r.energies for r in means], energies)
+        edges, found = structure.segmented(df, ["track"])
+        want = plain.boundaries(plain.novelty(energies))
+        assert sorted((r.bar, round(r.strength, 6)) for r in edges.collect()) == [(b, round(s, 6)) for b, s in want]
+        for got, exact in zip(found.orderBy("idx").collect(), plain.sections(energies, starts, [b for b, _ in want]), strict=True):
+            assert (got.label, got.start_bar, got.bars) == (exact["label"], exact["start_bar"], exact["bars"]) and abs(got.confidence - exact["confidence"]) < 1e-6 and abs(got.rise_db - exact["rise_db"]) < 1e-6
