@@ -66,7 +66,8 @@ def dictionary(df: DataFrame, position: str, column: str) -> DataFrame:
     """(column, code): distinct non-empty values numbered from 0 as they first appear.
 
     First positions are pre-aggregated; the values are then range-partitioned by them, numbered within each partition,
-    and moved up by what the partitions before hold, a table of one row a partition. No task holds all values.
+    and moved up by what the partitions before hold, a table of one row a partition. No task holds all values. The
+    ranged values stay cached, since ranges are cut anew in every run, until spark.catalog.clearCache().
     """
     from pyspark.sql import Window as W
 

@@ -1,6 +1,6 @@
 """The relational form of the engine's operators over the driver's tables, with equivalent SQL.
 
-Signal model: a band is an event type, a frame an hour of 2024's first 30 days, energy the sum of values; embeddings
+Signal model: a band is an event type, a frame an hour since 2024 began, energy the sum of values; embeddings
 stand in for magnitude spectra of 64 bins, orders for tracks, and parts, pages and documents for files.
 """
 
