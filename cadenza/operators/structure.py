@@ -149,6 +149,15 @@ def section_labels(sections: DataFrame, by: list[str]) -> DataFrame:
     return undone.withColumn("label", F.when(F.col("undone_"), "steady").otherwise(F.col("label"))).withColumn("confidence", F.when(F.col("undone_"), 0.0).otherwise(F.col("confidence"))).drop("undone_", "low_", "broad_", "last_")
 
 
+def bound(name: str, value: str, body: str) -> str:
+    """SQL of `body`, in which `name` stands for `value`, evaluated once.
+
+    A column of steps like these is no such thing: filters on what is made of it, as an explode brings its own, take the
+    step's text to every place where its name stands, within lambdas too, which then run it for each of their elements.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def place_cues(tracks: DataFrame, memory_offset: int = 16, loop_bars: int = 4, drop_after: float = 0.2) -> DataFrame:
     """Adds cues, missing_pads and drop_rule_relaxed to rows of one track each with `sections` (an array of structs with
     idx, label, start_bar and broadband_db, by idx), `bar_starts` and `duration_seconds`.
@@ -160,28 +169,35 @@ def place_cues(tracks: DataFrame, memory_offset: int = 16, loop_bars: int = 4, d
     followed by a memory cue, memory_offset bars ahead for those that lead in, unless one is on that bar already. Without sections only the first beat is
     marked.
     """
-    out = tracks.withColumn("early_", F.expr(f"coalesce(array_min(filter(transform(bar_starts, (t, i) -> if(t >= duration_seconds * {drop_after!r}D, i, null)), i -> i is not null)), 0)"))
-    out = out.withColumn("late_", F.expr("try_element_at(filter(sections, s -> s.label = 'drop' and s.start_bar >= early_), 1)"))
-    out = out.withColumn("drop_", F.expr("coalesce(late_, try_element_at(filter(sections, s -> s.label = 'drop'), 1))"))
-    out = out.withColumn("build_", F.expr("try_element_at(filter(sections, s -> s.label = 'build' and s.idx < drop_.idx), -1)"))
-    out = out.withColumn("down_", F.expr("try_element_at(filter(sections, s -> s.label = 'breakdown'), 1)")).withColumn("outro_", F.expr("try_element_at(filter(sections, s -> s.label = 'outro'), -1)"))
-    out = out.withColumn("loop_", F.expr("coalesce(try_element_at(filter(sections, s -> s.label in ('drop', 'steady')), 1).start_bar, try_element_at(sections, 1).start_bar, 0)"))
-    taken = "array_compact(array(drop_.idx, build_.idx, down_.idx, outro_.idx))"
-    out = out.withColumn("special_", F.expr(f"array_max(transform(filter(sections, s -> s.idx > 0 and not array_contains({taken}, s.idx) and s.label <> 'intro'), s -> struct(s.broadband_db, s.idx, s.start_bar)))"))
     places = [("0", "null"), ("loop_", "null"), *((f"{c}.start_bar", f"{c}.idx") for c in ("build_", "drop_", "down_", "special_", "outro_")), (f"loop_ + {loop_bars}", "null")]
     pads = ", ".join(
         f"struct({i} as number, '{pad}' as pad, '{name}' as name, '{colour}' as colour, cast({bar} as int) as bar, cast({section} as int) as from_section, greatest(cast({bar} as int) - {memory_offset if leads else 0}, 0) as memory_bar, get(bar_starts, cast({bar} as int)) as time_seconds)"
         for i, ((pad, name, colour, leads), (bar, section)) in enumerate(zip(PADS, places, strict=True), 1)
     )
-    out = out.withColumn("pads_", F.expr(f"if(size(sections) > 0, array({pads}), slice(array({pads}), 1, 1))")).withColumn("hot_", F.expr("filter(pads_, p -> p.time_seconds is not null)"))
-    out = out.withColumn("marked_", F.expr("transform(hot_, (p, i) -> struct(p as p, not exists(slice(hot_, 1, i), q -> q.memory_bar = p.memory_bar) as fresh))"))
     cue = "struct('{kind}' as kind, {number} as number, m.p.name as name, m.p.colour as colour, {time} as time_seconds, m.p.{bar} as bar, m.p.from_section as from_section)"
     hot = cue.format(kind="hot", number="m.p.number", time="m.p.time_seconds", bar="bar")
     memory = cue.format(kind="memory", number="size(filter(slice(marked_, 1, i + 1), n -> n.fresh))", time="get(bar_starts, m.p.memory_bar)", bar="memory_bar")
-    out = out.withColumn("cues", F.expr(f"flatten(transform(marked_, (m, i) -> if(m.fresh, array({hot}, {memory}), array({hot}))))"))
-    out = out.withColumn("missing_pads", F.expr("if(size(sections) > 0, transform(filter(pads_, p -> p.time_seconds is null), p -> p.pad), cast(array() as array<string>))"))
-    out = out.withColumn("drop_rule_relaxed", F.expr("late_ is null and drop_ is not null"))
-    return out.drop("early_", "late_", "drop_", "build_", "down_", "outro_", "loop_", "special_", "pads_", "hot_", "marked_")
+    steps = [
+        ("early_", f"coalesce(array_min(filter(transform(bar_starts, (t, i) -> if(t >= duration_seconds * {drop_after!r}D, i, null)), i -> i is not null)), 0)"),
+        ("late_", "try_element_at(filter(sections, s -> s.label = 'drop' and s.start_bar >= early_), 1)"),
+        ("drop_", "coalesce(late_, try_element_at(filter(sections, s -> s.label = 'drop'), 1))"),
+        ("build_", "try_element_at(filter(sections, s -> s.label = 'build' and s.idx < drop_.idx), -1)"),
+        ("down_", "try_element_at(filter(sections, s -> s.label = 'breakdown'), 1)"), ("outro_", "try_element_at(filter(sections, s -> s.label = 'outro'), -1)"),
+        ("loop_", "coalesce(try_element_at(filter(sections, s -> s.label in ('drop', 'steady')), 1).start_bar, try_element_at(sections, 1).start_bar, 0)"),
+        ("taken_", "array_compact(array(drop_.idx, build_.idx, down_.idx, outro_.idx))"),
+        ("special_", "array_max(transform(filter(sections, s -> s.idx > 0 and not array_contains(taken_, s.idx) and s.label <> 'intro'), s -> struct(s.broadband_db, s.idx, s.start_bar)))"),
+        ("all_", f"array({pads})"), ("pads_", "if(size(sections) > 0, all_, slice(all_, 1, 1))"), ("hot_", "filter(pads_, p -> p.time_seconds is not null)"),
+        ("marked_", "transform(hot_, (p, i) -> struct(p as p, not exists(slice(hot_, 1, i), q -> q.memory_bar = p.memory_bar) as fresh))"),
+    ]
+    placed = {
+        "cues": f"flatten(transform(marked_, (m, i) -> if(m.fresh, array({hot}, {memory}), array({hot}))))",
+        "missing_pads": "if(size(sections) > 0, transform(filter(pads_, p -> p.time_seconds is null), p -> p.pad), cast(array() as array<string>))",
+        "drop_rule_relaxed": "late_ is null and drop_ is not null",
+    }
+    whole = f"struct({', '.join(f'{value} as {name}' for name, value in placed.items())})"
+    for name, value in reversed(steps):
+        whole = bound(name, value, whole)
+    return tracks.withColumn("placed_", F.expr(whole)).withColumns({c: F.col(f"placed_.{c}") for c in placed}).drop("placed_")
 
 
 def clock(seconds: Column) -> Column:

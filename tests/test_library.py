@@ -214,6 +214,16 @@ def test_eight_pads_and_memory_cues(spark):
     assert [(c.kind, c.bar) for c in none.cues] == [("hot", 0), ("memory", 0)] and none.missing_pads == []
 
 
+def test_cues_of_a_long_track_taken_apart(spark):
+    labels = ["intro", *[("steady", "build", "drop", "breakdown")[i % 4] for i in range(1, 149)], "outro"]
+    rows = _sections([(label, 8 * i, -20 + 0.01 * i) for i, label in enumerate(labels)])
+    df = spark.createDataFrame([(rows, [2.0 * i for i in range(1200)], 2400.0)], "sections array<struct<idx:int,label:string,start_bar:int,broadband_db:double>>, bar_starts array<double>, duration_seconds double")
+    found = structure.place_cues(df).select(F.explode("cues").alias("c")).select("c.*")
+    # the filter that an explode brings repeats the steps a few times, not once more for every step that uses one
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_min") <= 3
+    assert [(c.number, c.bar) for c in found.collect() if c.kind == "hot"] == [(1, 0), (2, 16), (3, 232), (4, 240), (5, 24), (6, 1184), (7, 1192), (8, 20)]
+
+
 def _bars(spark, groups):
     rows = [(bar, 2.0 * bar, 2.0 * bar + 2, e) for bar, e in enumerate(e for n, e in groups for _ in range(n))]
     return spark.createDataFrame([(0, *r) for r in rows], "track int, bar int, start_seconds double, end_seconds double, energies array<double>")
