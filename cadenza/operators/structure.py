@@ -164,7 +164,7 @@ def place_cues(tracks: DataFrame, memory_offset: int = 16, loop_bars: int = 4, d
 
     The eight pads of PADS: the first bar; the first section that is a drop or steady (else the first) as loop; the
     last build before the drop; the first drop after `drop_after` of the track, else the first one (the rule is then
-    relaxed); the first breakdown; the loudest section that no pad marks yet, neither the first nor an intro; the last
+    relaxed); the first breakdown; the loudest section that no pad marks yet (to nine decimals, the last on ties), neither the first nor an intro; the last
     outro; and loop_bars after the loop's start. A pad without a section or bar is missing. Each pad's hot cue is
     followed by a memory cue, memory_offset bars ahead for those that lead in, unless one is on that bar already. Without sections only the first beat is
     marked.
@@ -185,7 +185,7 @@ def place_cues(tracks: DataFrame, memory_offset: int = 16, loop_bars: int = 4, d
         ("down_", "try_element_at(filter(sections, s -> s.label = 'breakdown'), 1)"), ("outro_", "try_element_at(filter(sections, s -> s.label = 'outro'), -1)"),
         ("loop_", "coalesce(try_element_at(filter(sections, s -> s.label in ('drop', 'steady')), 1).start_bar, try_element_at(sections, 1).start_bar, 0)"),
         ("taken_", "array_compact(array(drop_.idx, build_.idx, down_.idx, outro_.idx))"),
-        ("special_", "array_max(transform(filter(sections, s -> s.idx > 0 and not array_contains(taken_, s.idx) and s.label <> 'intro'), s -> struct(s.broadband_db, s.idx, s.start_bar)))"),
+        ("special_", "array_max(transform(filter(sections, s -> s.idx > 0 and not array_contains(taken_, s.idx) and s.label <> 'intro'), s -> struct(round(s.broadband_db, 9), s.idx, s.start_bar)))"),
         ("all_", f"array({pads})"), ("pads_", "if(size(sections) > 0, all_, slice(all_, 1, 1))"), ("hot_", "filter(pads_, p -> p.time_seconds is not null)"),
         ("marked_", "transform(hot_, (p, i) -> struct(p as p, not exists(slice(hot_, 1, i), q -> q.memory_bar = p.memory_bar) as fresh))"),
     ]

@@ -224,6 +224,11 @@ def test_cues_of_a_long_track_taken_apart(spark):
     assert [(c.number, c.bar) for c in found.collect() if c.kind == "hot"] == [(1, 0), (2, 16), (3, 232), (4, 240), (5, 24), (6, 1184), (7, 1192), (8, 20)]
 
 
+def test_sections_as_loud_but_for_rounding_leave_the_last_special(spark):
+    r = _cued(spark, [("intro", 0, -20.0), ("steady", 16, -9.0), ("steady", 48, -9.0 - 1e-13), ("outro", 112, -15.0)])
+    assert next(c.bar for c in r.cues if c.name == "Special") == 48
+
+
 def _bars(spark, groups):
     rows = [(bar, 2.0 * bar, 2.0 * bar + 2, e) for bar, e in enumerate(e for n, e in groups for _ in range(n))]
     return spark.createDataFrame([(0, *r) for r in rows], "track int, bar int, start_seconds double, end_seconds double, energies array<double>")
